@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash
+from . import langid, mixing, packing, quality, secrets, simhash, tokens, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_tokens": tokens.op3_tokens,
+    "op4_secrets": secrets.op4_secrets,
     "op5_quality": quality.op5_quality,
+    "op6_pack": packing.op6_pack,
+    "op7_topk": topk.op7_topk,
+    "op8_langid": langid.op8_langid,
     "op9_mix": mixing.op9_mix,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
+    "op7_topk": topk.OP7_SQL,
     "op9_mix": mixing.OP9_SQL,
 }
