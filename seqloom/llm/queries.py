@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, quality, secrets, simhash, tokens, topk, toxicity
+import corpus_pipeline
+
+from . import extract, langid, mixing, packing, quality, secrets, simhash, tokens, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_extract": extract.op2_extract,
     "op3_tokens": tokens.op3_tokens,
     "op4_secrets": secrets.op4_secrets,
     "op5_quality": quality.op5_quality,
@@ -14,6 +17,7 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_mix": mixing.op9_mix,
     "op10_toxicity": toxicity.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

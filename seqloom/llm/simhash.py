@@ -161,13 +161,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", shi
     return rows.join(classes.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class, its first by (row number given here); columns unchanged."""
+def drop_near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 3, seed: int = 42) -> DataFrame:
+    """``docs`` with one row of each class, that of the smallest doc_id (nulls last, equal ones by their order in the input).
+
+    Columns are unchanged.
+    """
     row = fresh(docs, "dedup_row")
     marked = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-docs")
-    classes = near_duplicates(marked, text, row)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("dedup_kept"))
-    return marked.join(kept, F.col(row) == F.col("dedup_kept"), "left_semi").select(*[marked[c] for c in docs.columns])
+    classes = near_duplicates(marked, text, row, shingle, seed).select(F.col("doc_id").alias("dedup_kept"), "component_id")
+    named = classes.join(marked.select(F.col(row).alias("dedup_kept"), F.col(id).alias("dedup_id")), "dedup_kept")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("dedup_id").isNull().alias("none"), "dedup_id", "dedup_kept"))["dedup_kept"].alias("dedup_kept"))
+    return marked.join(first, F.col(row) == F.col("dedup_kept"), "left_semi").select(*[marked[c] for c in docs.columns])
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
