@@ -1,6 +1,6 @@
-"""All queries of the library with their DuckDB SQL, gathered from the modules that define them."""
+"""All queries of the library with their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from seqloom.plans import sequence_queries  # noqa: F401  (imports register the queries)
+from seqloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
