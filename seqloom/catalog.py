@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from seqloom.plans import evaluation_queries, pair_queries, sequence_queries  # noqa: F401  (imports register the queries)
+from seqloom.plans import evaluation_queries, pair_queries, sequence_queries, weak_queries  # noqa: F401  (imports register the queries)
 from seqloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

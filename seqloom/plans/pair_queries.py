@@ -221,14 +221,11 @@ def curve_fits(spark, d):
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for id, ts, vs in zip(pdf["id"], pdf["t"], pdf["v"]):
-                t, v = np.asarray(ts, float), np.asarray(vs, float)
-                sig, log, wei = fits.fit_sigmoid(t, v), fits.fit_logistic(t, v), fits.fit_weibull(t, v)
-                one = [id, *(sig[0] if sig else [None] * 4), sig[1] if sig else None, fits.d50(t, v)]
-                one += [*log[0], 1 / abs(log[0][2]), log[0][1] + log[0][2] * np.log(3)] if log else [None] * 5
-                rows.append([*one, *(wei[0][1:] if wei else [None] * 2)])
-            yield type(pdf)(rows, columns=[x.split()[0] for x in kind.split(", ")])
+            x = fits.padded(list(pdf["t"]), list(pdf["v"]))
+            (sig, sse), (log, log_sse), (wei, wei_sse) = fits.fit_sigmoid(*x), fits.fit_logistic(*x), fits.fit_weibull(*x)
+            log[~np.isfinite(log_sse)], wei[~np.isfinite(wei_sse)] = np.nan, np.nan
+            columns = [pdf["id"], *sig.T, sse, fits.d50(*x, sig), *log.T, 1 / np.abs(log[:, 2]), log[:, 1] + log[:, 2] * np.log(3), *wei[:, 1:].T]
+            yield type(pdf)(dict(zip([n.split()[0] for n in kind.split(", ")], columns)))
 
     long = sequences(spark, d).where(F.size("seq") >= 3)
     # little data and much work: as many parts as there are cores at least
