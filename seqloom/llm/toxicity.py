@@ -167,7 +167,8 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int = TRAIN_
     for label, n in counts.items():
         share = F.when(F.col("toxic") == label, F.lit(round(1_000_000 * min(1.0, most / n)))).otherwise(share)
     chosen = given.where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1_000_000)) < share)
-    rows = docs.where(learn).select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic").collect()
+    # about 2 * most ids, whatever the size of the tables: sent to the texts, which are not shuffled
+    rows = docs.where(learn).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
     return [((r["text"] or "").encode(), r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))]
 
 
