@@ -84,9 +84,9 @@ class Responses:
             b = min(windows, a + AT_ONCE)
             n = (b - a) * WINDOW
             x = flat[a * WINDOW : a * WINDOW + n + 3].astype(np.int64)
-            x[1:] *= x[:-1] != 0  # a stretch that begins in the zeros between texts ends in them
-            pairs = x[:-1] * 256 + x[1:]
-            for k, r in enumerate((self.two[pairs[:n]], self.three[pairs[:n]] + self.third[x[2 : n + 2]], self.four[pairs[:n]] + self.more[pairs[2 : n + 2]])):
+            first, live = x[:n] * 256, x[:n] != 0  # a stretch that begins in the zeros between texts ends in them
+            head, third = first + x[1 : n + 1] * live, x[2 : n + 2] * live
+            for k, r in enumerate((self.two[head], self.three[head] + self.third[third], self.four[head] + self.more[third * 256 + x[3 : n + 3] * live])):
                 out[a:b, k * FILTERS : (k + 1) * FILTERS] = _window_max(r.reshape(b - a, WINDOW, FILTERS))
         return out
 

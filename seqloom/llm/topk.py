@@ -57,6 +57,11 @@ def _cutoff(x: int | None) -> float:
     return -np.inf if x is None else float(x) if abs(x) < 2**53 else np.nextafter(float(x), -np.inf)
 
 
+def _float(x: np.ndarray) -> np.ndarray:
+    """Doubles of exact scores; whole numbers beyond 1e300 count as that."""
+    return x.astype(np.float64) if x.dtype != object else np.array([max(-1e300, min(1e300, v)) for v in x.ravel().tolist()], dtype=np.float64).reshape(x.shape)
+
+
 class Queries:
     """A block of queries of one length."""
 
@@ -90,7 +95,7 @@ def gather(ids: np.ndarray, vectors: np.ndarray, queries: Queries, k: int, lists
     for qa, xa, partial, own in _parts(ids, vectors, queries, lists):
         total = sum(partial)
         for p in partial:
-            p = np.where(own, -np.inf, p.astype(np.float64))
+            p = np.where(own, -np.inf, _float(p))
             top = np.argpartition(-p, min(k, p.shape[1]) - 1, axis=1)[:, :k]
             for r in range(len(p)):
                 best.setdefault(qa + r, {})
@@ -115,7 +120,7 @@ def resolve(ids: np.ndarray, vectors: np.ndarray, queries: Queries, cutoff: np.n
         collected &= ~own
         row, col = np.nonzero(collected)
         score = sum(p[row, col] for p in partial)
-        reach = score.astype(np.float64) >= low[row, 0]
+        reach = _float(score) >= low[row, 0]
         for r, c, s in zip(row[reach].tolist(), col[reach].tolist(), score[reach].tolist()):
             found.setdefault(qa + r, []).append((-_long(s), int(ids[xa + c])))
     return [(q, v, -s) for q, got in found.items() for s, v in sorted(got)[:k]]

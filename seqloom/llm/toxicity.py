@@ -44,6 +44,8 @@ TOXIC_BYTES, ALIKE_BYTES, COMMON_BYTES = 4_096, 2_048, 512
 THRESHOLDS = (0.3, 0.4, 0.5, 0.6, 0.7)
 #: Distances a worker remembers, and the longest window remembered.
 REMEMBERED, LONGEST = 1_000_000, 48
+#: Shorter texts count as having so many windows; the labelled texts say nothing about texts of hardly any.
+LEAST_WINDOWS = 20
 
 EDGES = re.compile(rb"^[^0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff]+$")
 
@@ -93,7 +95,7 @@ class Scorer:
     def features(self, text: bytes) -> list[float]:
         found = [self.distance(w) for w in windows(text)]
         high = [d for d in found if d >= THRESHOLDS[0]]
-        return [float(np.log1p(sum(d >= t for d in high))) for t in THRESHOLDS] + [float(np.log1p(len(found))), max(0.0, max(high, default=0.0))]
+        return [float(np.log1p(sum(d >= t for d in high))) for t in THRESHOLDS] + [float(np.log1p(max(LEAST_WINDOWS, len(found)))), max(0.0, max(high, default=0.0))]
 
 
 def dictionaries(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> tuple[bytes, bytes, tuple[bytes, bytes]]:
