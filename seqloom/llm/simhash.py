@@ -161,14 +161,133 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", shi
     return rows.join(classes.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``docs`` with one row of each class, that of the smallest doc_id (nulls last, equal ones by their order in the input).
+# --- near copies: several short fingerprints --------------------------------------------------------------------------
+#
+# A pair of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differs in about 15 % of SimHash bits,
+# 10 of 64: far beyond a radius of three.  It is within three of 32 bits with a probability of 0.27 or more, and so in at
+# least one of ten independent fingerprints of 32 bits with one of 0.96 (0.99 at a similarity of 0.85).  Pairs that meet in
+# a fingerprint are verified by all 320 bits.
+
+SKETCH = 5  # longs; two fingerprints of 32 bits in each
+#: Differing bits of the sketch up to which texts are near copies: a similarity of 0.8 is at 48 (standard deviation 6.4).
+SKETCH_RADIUS = 56
+SHORT, SHORT_HALF = 32, 16
+SHORT_VARIANTS = (1 + 32 + 2 * (16 * 15 // 2) + 1 + 32) / 2
+
+
+def sketch(text: bytes, shingle: int = 5) -> list[int]:
+    """SKETCH independent 64-bit SimHashes of the set of a text's shingles; words and case as for ``fingerprint``."""
+    import xxhash
+
+    words = text.lower().split()
+    if not words:
+        return [0] * SKETCH
+    grams = {b" ".join(words)} if len(words) < shingle else set(map(b" ".join, zip(*(itertools.islice(words, k, None) for k in range(shingle)))))
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(g) for g in grams], dtype=np.uint64)
+    ones = np.zeros((SKETCH, BITS))
+    for at in range(0, len(h), 1 << 16):
+        part = h[at : at + (1 << 16)]
+        count = np.ones(len(part), dtype=np.float32)
+        for k in range(SKETCH):
+            x = part + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % 2**64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            ones[k] += count @ np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
+    return np.packbits(ones * 2 > len(h), axis=1).view(np.int64)[:, 0].tolist()
+
+
+def short_variants(fps: np.ndarray, bucket: int, bits: int) -> np.ndarray:
+    """Sorted variants of 32-bit fingerprints that fall in a bucket, each with its fingerprint's index in the low 32 bits."""
+    low = np.uint64((1 << bits) - 1)
+    away = np.bitwise_count((fps ^ np.uint64(bucket)) & low)
+    here = (fps & ~low) | np.uint64(bucket)
+    odd = np.bitwise_count(fps) % 2 == 1
+    none = np.zeros(1, dtype=np.uint64)
+    rest = np.array([1 << i for i in range(bits, SHORT)], dtype=np.uint64)
+    rest_low = np.array([1 << i for i in range(bits, SHORT_HALF)], dtype=np.uint64)
+    pairs = np.concatenate([_pair_flips(range(bits, SHORT_HALF)), _pair_flips(range(SHORT_HALF, SHORT))])
+    out = []
+    for which, flips in ((away <= np.where(odd, 1, 2), none), (away == 0, rest), ((away == 1) & ~odd, rest_low), ((away == 0) & ~odd, pairs)):
+        at = np.flatnonzero(which).astype(np.uint64)
+        out.append((((here[at.astype(np.int64)][:, None] ^ flips[None, :]) << np.uint64(32)) | at[:, None]).ravel())
+    out = np.concatenate(out)
+    out.sort()
+    return out
+
+
+def verified_links(fps: np.ndarray, sketches: np.ndarray, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among texts whose short fingerprints share a variant in this bucket, verified by sketch; a spanning forest.
+
+    Of those that share a variant one is drawn, by a hash of the variant, and compared with all others; those that it is
+    not near to draw again, until all are done.
+    """
+    packed = short_variants(fps, bucket, bits)
+    key, who = packed >> np.uint64(32), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    a, b, turn = [], [], 1
+    while True:
+        same = key[1:] == key[:-1]
+        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else np.zeros(0, bool)
+        key, who = key[shared], who[shared]
+        if not len(key):
+            break
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        drawn = first + ((key[first] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) * np.uint64(turn) % size.astype(np.uint64)).astype(np.int64)
+        lead = np.repeat(drawn, size)
+        near = np.zeros(len(key), dtype=bool)
+        for at in range(0, len(key), 1 << 20):
+            part = slice(at, at + (1 << 20))
+            near[part] = np.bitwise_count(sketches[who[lead[part]]] ^ sketches[who[part]]).sum(axis=1) <= SKETCH_RADIUS
+        own = lead == np.arange(len(key))
+        a.append(who[lead][near & ~own])
+        b.append(who[near & ~own])
+        key, who, turn = key[~near & ~own], who[~near & ~own], turn + 2
+    root = local_roots(len(fps), np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64))
+    tied = np.flatnonzero(root != np.arange(len(fps)))
+    return tied, root[tied]
+
+
+def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id): classes of texts that are copies or nearly so (about 0.8 of five-word shingles shared, or more)."""
+    names = [f"s{k}" for k in range(SKETCH)]
+    kind = docs.schema[id].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            found = np.array([sketch(t or b"", shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, k]) for k in range(SKETCH)]], names=["doc_id", *names])
+
+    rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+    rows = materialize(rows, "sketches")
+    distinct = materialize(rows.groupBy(*names).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "distinct-sketches")
+    bits = min(12, max(2, math.ceil(math.log2(max(1, distinct.count()) * SHORT_VARIANTS / BUCKET_VARIANTS / 4))))
+    shorts = F.array(*[x for n in names for x in (F.shiftrightunsigned(n, 32), F.col(n).bitwiseAND(F.lit(0xFFFFFFFF)))])
+    masks = {k: F.array(*[F.lit(m).cast("long") for m in _masks(bits, k)]) for k in (1, 2)}
+    each = distinct.select("node", *names, F.posexplode(shorts).alias("tab", "fp"))
+    sent = each.withColumn("mask", F.explode(F.when(F.bit_count("fp") % 2 == 0, masks[2]).otherwise(masks[1])))
+    sent = sent.select("node", *names, "fp", (F.col("tab") * F.lit(1 << bits) + F.col("fp").bitwiseAND(F.lit((1 << bits) - 1)).bitwiseXOR(F.col("mask"))).alias("bucket"))
+
+    def link(key, got):
+        sketches = np.stack([got.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
+        a, b = verified_links(got.column("fp").to_numpy().view(np.uint64), sketches, key[0].as_py() % (1 << bits), bits)
+        node = got.column("node").to_numpy()
+        return pa.table({"u": node[a], "v": node[b]})
+
+    roots = contract(sent.groupBy("bucket").applyInArrow(link, "u long, v long"))
+    classes = materialize(distinct.join(roots, "node", "left").select(*names, "node", F.coalesce("root", "node").alias("root")), "copy-classes")
+    smallest = classes.groupBy("root").agg(F.min("node").alias("component_id"))
+    return rows.join(classes.join(smallest, "root").select(*names, "component_id"), names).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each class of ``near_copies``: that of the smallest doc_id (nulls last, equal ones by their order in the input).
 
     Columns are unchanged.
     """
     row = fresh(docs, "dedup_row")
     marked = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-docs")
-    classes = near_duplicates(marked, text, row, shingle, seed).select(F.col("doc_id").alias("dedup_kept"), "component_id")
+    classes = near_copies(marked, text, row).select(F.col("doc_id").alias("dedup_kept"), "component_id")
     named = classes.join(marked.select(F.col(row).alias("dedup_kept"), F.col(id).alias("dedup_id")), "dedup_kept")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("dedup_id").isNull().alias("none"), "dedup_id", "dedup_kept"))["dedup_kept"].alias("dedup_kept"))
     return marked.join(first, F.col(row) == F.col("dedup_kept"), "left_semi").select(*[marked[c] for c in docs.columns])

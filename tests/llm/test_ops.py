@@ -83,6 +83,33 @@ def test_near_duplicates_of_documents(spark, sf_dir):
     assert [got[i] for i in ids] == [(int(f), ids[r]) for f, r in zip(fps, roots)]
 
 
+def test_near_copies_by_similarity(spark):
+    """Copies with a few words changed are found, other texts of the same words are not."""
+    rng = random.Random(11)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randrange(400))
+    rows, sets = [], []
+    for k in range(120):
+        words = [word() for _ in range(300)]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(rng.randrange(4)):
+            again = list(words)
+            for _ in range(rng.randrange(1, 7)):
+                again[rng.randrange(300)] = word()
+            rows.append((len(rows), " ".join(again)))
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(296)})
+    got = dict(tuple(r) for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    near = far = hit = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            near += s >= 0.82
+            hit += s >= 0.82 and got[i] == got[j]
+            far += s < 0.4 and got[i] == got[j]
+    assert hit >= 0.97 * near and not far
+
+
 def test_contraction(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(45)] + [(7, 7)]
@@ -373,7 +400,7 @@ def test_pipeline_stages(spark, sf_dir):
     kept = got["quality"](spark, docs, sf_dir)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     once = got["near_duplicates"](spark, docs, sf_dir)
-    classes = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    classes = simhash.near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
     assert sorted(r[0] for r in once.select("doc_id").collect()) == sorted(r[0] for r in classes.collect())
     clean = got["secrets"](spark, docs, sf_dir)
     assert clean.columns == docs.columns and secrets.scan(clean).where(F.size(F.filter("spans", lambda s: s["kind"].isin("access", "hex"))) > 0).count() == 0
