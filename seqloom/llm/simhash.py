@@ -163,28 +163,35 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", shi
 
 # --- near copies: several short fingerprints --------------------------------------------------------------------------
 #
-# A pair of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differs in about 15 % of SimHash bits,
-# 10 of 64: far beyond a radius of three.  It is within three of 32 bits with a probability of 0.27 or more, and so in at
-# least one of ten independent fingerprints of 32 bits with one of 0.96 (0.99 at a similarity of 0.85).  Pairs that meet in
-# a fingerprint are verified by all 320 bits.
-
-SKETCH = 5  # longs; two fingerprints of 32 bits in each
-#: Differing bits of the sketch up to which texts are near copies: a similarity of 0.8 is at 48 (standard deviation 6.4).
-SKETCH_RADIUS = 56
+# Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.  A pair at 0.8 differs
+# in about 15 % of SimHash bits, 10 of 64: far beyond a radius of three.  It is within three of 32 bits with a probability
+# of 0.27 or more, and so in at least one of twenty independent fingerprints of 32 bits with one of 0.998.  Pairs that meet
+# in a fingerprint are candidates if the bits of five longs agree so far; the classes that candidates make are then taken
+# apart again by the similarity of the sets themselves.
+
+SKETCH = 10  # longs; two fingerprints of 32 bits in each
+#: A bucket holds the fingerprints of OWN longs, and compares by these and those that follow, FILTER in all.
+OWN, FILTER = 2, 5
+#: Differing bits of FILTER longs up to which texts are candidates: a similarity of 0.8 is at 48 (standard deviation 6.4).
+SKETCH_RADIUS = 72
 SHORT, SHORT_HALF = 32, 16
 SHORT_VARIANTS = (1 + 32 + 2 * (16 * 15 // 2) + 1 + 32) / 2
 
 
-def sketch(text: bytes, shingle: int = 5) -> list[int]:
-    """SKETCH independent 64-bit SimHashes of the set of a text's shingles; words and case as for ``fingerprint``."""
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles; words and case as for ``fingerprint``."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return [0] * SKETCH
+        return np.zeros(0, dtype=np.uint64)
     grams = {b" ".join(words)} if len(words) < shingle else set(map(b" ".join, zip(*(itertools.islice(words, k, None) for k in range(shingle)))))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(g) for g in grams], dtype=np.uint64)
+    return np.unique(np.array([digest(g) for g in grams], dtype=np.uint64))
+
+
+def sketch(h: np.ndarray) -> list[int]:
+    """SKETCH independent 64-bit SimHashes of a set of hashes."""
     ones = np.zeros((SKETCH, BITS))
     for at in range(0, len(h), 1 << 16):
         part = h[at : at + (1 << 16)]
@@ -248,36 +255,121 @@ def verified_links(fps: np.ndarray, sketches: np.ndarray, bucket: int, bits: int
     return tied, root[tied]
 
 
-def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 5) -> DataFrame:
-    """(doc_id, component_id): classes of texts that are copies or nearly so (about 0.8 of five-word shingles shared, or more)."""
+def similar_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect exactly the sets that similarities of 0.8 or more connect.
+
+    Each set in turn is compared with the later ones that no link connects with it yet.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    start = np.cumsum(size) - size
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, root = np.zeros(len(values), dtype=bool), np.arange(n)
+    a, b = [], []
+    for i in range(n - 1):
+        later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        later = later[5 * np.minimum(size[later], size[i]) >= 4 * np.maximum(size[later], size[i])]
+        if not len(later):
+            continue
+        mine = flat[start[i] : start[i] + size[i]]
+        mark[mine] = True
+        for part in np.split(later, np.flatnonzero(np.diff(np.cumsum(size[later]) >> 22)) + 1):
+            if not len(part):
+                continue
+            first = np.cumsum(size[part]) - size[part]
+            both = np.add.reduceat(mark[flat[np.arange(size[part].sum()) + np.repeat(start[part] - first, size[part])]], first, dtype=np.int64)
+            near = part[9 * both >= 4 * (size[i] + size[part])]  # both / (sum of sizes - both) >= 4 / 5
+            a.append(np.full(len(near), i))
+            b.append(near)
+            if len(near):
+                root[np.isin(root, root[near])] = root[i]
+        mark[mine] = False
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _picked(marked: DataFrame, row: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``marked`` whose number ``row`` is in the one column of ``wanted``.
+
+    What travels are bitmaps, 4 KB for 32,768 numbers, and not the texts.
+    """
+    number = F.col(wanted.columns[0])
+    maps = wanted.groupBy(F.bitmap_bucket_number(number).alias("map_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("map_bits"))
+    at = F.bitmap_bit_position(F.col(row))
+    byte = F.conv(F.hex(F.substring("map_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    here = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
+    return marked.join(F.broadcast(maps), F.bitmap_bucket_number(F.col(row)) == F.col("map_bucket")).where(here).select(*[marked[c] for c in marked.columns])
+
+
+def _row_classes(marked: DataFrame, text: str, row: str, shingle: int = 5) -> DataFrame:
+    """(node, root) for every row of ``marked``, which has a number of its own in ``row``: the classes of near copies."""
     names = [f"s{k}" for k in range(SKETCH)]
-    kind = docs.schema[id].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            found = np.array([sketch(t or b"", shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.int64).reshape(-1, SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, k]) for k in range(SKETCH)]], names=["doc_id", *names])
+        import xxhash
 
-    rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+        for batch in batches:
+            digests, found = [], np.zeros((len(batch), SKETCH), dtype=np.int64)
+            for k, t in enumerate(batch.column(1).cast(pa.binary())):
+                h = shingle_set(t.as_py() or b"", shingle)
+                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                found[k] = sketch(h)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *[pa.array(found[:, k]) for k in range(SKETCH)]], names=["row", "digest", *names])
+            pa.default_memory_pool().release_unused()
+
+    rows = marked.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(run, "row long, digest binary, " + ", ".join(f"{n} long" for n in names))
     rows = materialize(rows, "sketches")
-    distinct = materialize(rows.groupBy(*names).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "distinct-sketches")
+    distinct = materialize(rows.groupBy("digest", *names).agg(F.min("row").alias("node")), "distinct-sketches")
     bits = min(12, max(2, math.ceil(math.log2(max(1, distinct.count()) * SHORT_VARIANTS / BUCKET_VARIANTS / 4))))
-    shorts = F.array(*[x for n in names for x in (F.shiftrightunsigned(n, 32), F.col(n).bitwiseAND(F.lit(0xFFFFFFFF)))])
     masks = {k: F.array(*[F.lit(m).cast("long") for m in _masks(bits, k)]) for k in (1, 2)}
-    each = distinct.select("node", *names, F.posexplode(shorts).alias("tab", "fp"))
-    sent = each.withColumn("mask", F.explode(F.when(F.bit_count("fp") % 2 == 0, masks[2]).otherwise(masks[1])))
-    sent = sent.select("node", *names, "fp", (F.col("tab") * F.lit(1 << bits) + F.col("fp").bitwiseAND(F.lit((1 << bits) - 1)).bitwiseXOR(F.col("mask"))).alias("bucket"))
+
+    def buckets(fp):
+        flips = F.when(F.bit_count(fp) % 2 == 0, masks[2]).otherwise(masks[1])
+        return F.transform(flips, lambda m: fp.bitwiseAND(F.lit((1 << bits) - 1)).bitwiseXOR(m))
+
+    sent = None
+    filters = [f"f{k}" for k in range(FILTER)]
+    for tab, at in enumerate(range(0, SKETCH, OWN)):
+        shorts = [x for n in names[at : at + OWN] for x in (F.shiftrightunsigned(n, 32), F.col(n).bitwiseAND(F.lit(0xFFFFFFFF)))]
+        columns = [F.col(names[(at + k) % SKETCH]).alias(f) for k, f in enumerate(filters)]
+        one = distinct.select("node", *columns, F.explode(F.array_distinct(F.concat(*map(buckets, shorts)))).alias("bucket")).withColumn("bucket", F.col("bucket") + (tab << bits))
+        sent = one if sent is None else sent.unionByName(one)
 
     def link(key, got):
-        sketches = np.stack([got.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
-        a, b = verified_links(got.column("fp").to_numpy().view(np.uint64), sketches, key[0].as_py() % (1 << bits), bits)
+        sketches = np.stack([got.column(n).to_numpy() for n in filters], axis=1).view(np.uint64)
+        links = [np.zeros((2, 0), dtype=np.int64)]
+        for k in range(OWN):
+            for fps in (sketches[:, k] >> np.uint64(32), sketches[:, k] & np.uint64(0xFFFFFFFF)):
+                links.append(np.stack(verified_links(fps, sketches, key[0].as_py() % (1 << bits), bits)))
+        root = local_roots(len(sketches), *np.concatenate(links, axis=1))
+        tied = np.flatnonzero(root != np.arange(len(root)))
+        node = got.column("node").to_numpy()
+        return pa.table({"u": node[tied], "v": node[root[tied]]})
+
+    loose = materialize(contract(sent.groupBy("bucket").applyInArrow(link, "u long, v long")), "candidates")
+    texts = _picked(marked.select(F.col(row).alias("node"), F.col(text).alias("text")), "node", loose.select("node")).join(loose, "node")
+
+    def compare(key, got):
+        sets = [shingle_set(t or b"", shingle) for t in got.column("text").cast(pa.binary()).to_pylist()]
+        a, b = similar_links(sets)
         node = got.column("node").to_numpy()
         return pa.table({"u": node[a], "v": node[b]})
 
-    roots = contract(sent.groupBy("bucket").applyInArrow(link, "u long, v long"))
-    classes = materialize(distinct.join(roots, "node", "left").select(*names, "node", F.coalesce("root", "node").alias("root")), "copy-classes")
-    smallest = classes.groupBy("root").agg(F.min("node").alias("component_id"))
-    return rows.join(classes.join(smallest, "root").select(*names, "component_id"), names).select("doc_id", "component_id")
+    roots = contract(texts.groupBy("root").applyInArrow(compare, "u long, v long"))
+    classes = distinct.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    return materialize(rows.select("row", "digest").join(classes, "digest").select(F.col("row").alias("node"), "root"), "copy-classes")
+
+
+def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
+    row = fresh(docs, "dedup_row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-docs"), row
+
+
+def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id): classes of texts that similarities of 0.8 or more of their sets of shingles connect."""
+    marked, row = _marked(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")))
+    named = marked.select("doc_id", F.col(row).alias("node")).join(_row_classes(marked, "text", row, shingle), "node")
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(smallest, "root").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -285,12 +377,10 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id"
 
     Columns are unchanged.
     """
-    row = fresh(docs, "dedup_row")
-    marked = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-docs")
-    classes = near_copies(marked, text, row).select(F.col("doc_id").alias("dedup_kept"), "component_id")
-    named = classes.join(marked.select(F.col(row).alias("dedup_kept"), F.col(id).alias("dedup_id")), "dedup_kept")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("dedup_id").isNull().alias("none"), "dedup_id", "dedup_kept"))["dedup_kept"].alias("dedup_kept"))
-    return marked.join(first, F.col(row) == F.col("dedup_kept"), "left_semi").select(*[marked[c] for c in docs.columns])
+    marked, row = _marked(docs)
+    named = _row_classes(marked, text, row).join(marked.select(F.col(row).alias("node"), F.col(id).alias("dedup_id")), "node")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("dedup_id").isNull().alias("none"), "dedup_id", "node"))["node"].alias("node"))
+    return _picked(marked, row, first.select("node")).select(*[marked[c] for c in docs.columns])
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

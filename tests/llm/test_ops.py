@@ -110,6 +110,34 @@ def test_near_copies_by_similarity(spark):
     assert hit >= 0.97 * near and not far
 
 
+def test_near_copies_on_both_sides_of_the_threshold(spark):
+    """Texts of distinct words: n words have n - 4 shingles, and a text cut short shares all of its own."""
+    rng, rows, alike = random.Random(12), [], []
+    for k in range(300):
+        n = rng.choice([50, 100, 200])
+        m = n * 4 // 5 - (0 if k % 2 == 0 else rng.randrange(1, 3))
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: m + 4]))]
+        alike.append(m * 5 >= n * 4)
+    got = dict(tuple(r) for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    same = [got[2 * k] == got[2 * k + 1] for k in range(300)]
+    assert not any(s for s, a in zip(same, alike) if not a)
+    assert sum(s for s, a in zip(same, alike) if a) >= 0.98 * sum(alike)
+    assert len(set(got.values())) == 600 - sum(same)
+
+
+def test_similar_links_are_all_pairs():
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 2**60, 60)
+        sets += [np.unique(rng.permutation(base)[: rng.integers(44, 61)].astype(np.uint64)) for _ in range(8)]
+    sets.append(np.zeros(0, dtype=np.uint64))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[j]) and 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    want = components.local_roots(len(sets), *np.array(pairs).T)
+    assert 1 < len(set(want.tolist())) < len(sets) and (components.local_roots(len(sets), *simhash.similar_links(sets)) == want).all()
+
+
 def test_contraction(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(45)] + [(7, 7)]
