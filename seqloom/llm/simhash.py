@@ -174,6 +174,8 @@ SKETCH = 10  # longs; two fingerprints of 32 bits in each
 OWN, FILTER = 2, 5
 #: Differing bits of FILTER longs up to which texts are candidates: a similarity of 0.8 is at 48 (standard deviation 6.4).
 SKETCH_RADIUS = 72
+#: A bucket's variants are made and compared in parts, by that many further bits, to bound a task's memory.
+PART_BITS = 2
 SHORT, SHORT_HALF = 32, 16
 SHORT_VARIANTS = (1 + 32 + 2 * (16 * 15 // 2) + 1 + 32) / 2
 
@@ -226,31 +228,36 @@ def short_variants(fps: np.ndarray, bucket: int, bits: int) -> np.ndarray:
 def verified_links(fps: np.ndarray, sketches: np.ndarray, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among texts whose short fingerprints share a variant in this bucket, verified by sketch; a spanning forest.
 
-    Of those that share a variant one is drawn, by a hash of the variant, and compared with all others; those that it is
-    not near to draw again, until all are done.
+    Of those that share a variant one is drawn, by a hash of the variant, compared with all others that no link connects
+    with it yet, and put aside; the rest draw again until links connect all of them.  So all pairs are compared that links
+    don't connect anyhow: being near is not transitive, and those near the drawn one may be near to some that it is not.
     """
     packed = short_variants(fps, bucket, bits)
+    same = packed[1:] >> np.uint64(32) == packed[:-1] >> np.uint64(32)
+    packed = packed[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(packed) else packed
     key, who = packed >> np.uint64(32), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    a, b, turn = [], [], 1
-    while True:
-        same = key[1:] == key[:-1]
-        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else np.zeros(0, bool)
-        key, who = key[shared], who[shared]
+    root, turn = np.arange(len(fps)), 1
+    while len(key):
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        apart = np.repeat(np.minimum.reduceat(root[who], first) != np.maximum.reduceat(root[who], first), size)
+        key, who = key[apart], who[apart]
         if not len(key):
             break
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
         drawn = first + ((key[first] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) * np.uint64(turn) % size.astype(np.uint64)).astype(np.int64)
-        lead = np.repeat(drawn, size)
-        near = np.zeros(len(key), dtype=bool)
-        for at in range(0, len(key), 1 << 20):
-            part = slice(at, at + (1 << 20))
-            near[part] = np.bitwise_count(sketches[who[lead[part]]] ^ sketches[who[part]]).sum(axis=1) <= SKETCH_RADIUS
-        own = lead == np.arange(len(key))
-        a.append(who[lead][near & ~own])
-        b.append(who[near & ~own])
-        key, who, turn = key[~near & ~own], who[~near & ~own], turn + 2
-    root = local_roots(len(fps), np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64))
+        lead = who[np.repeat(drawn, size)]
+        open_ = np.flatnonzero(root[lead] != root[who])
+        near = np.zeros(len(open_), dtype=bool)
+        for at in range(0, len(open_), 1 << 20):
+            part = open_[at : at + (1 << 20)]
+            near[at : at + (1 << 20)] = np.bitwise_count(sketches[lead[part]] ^ sketches[who[part]]).sum(axis=1) <= SKETCH_RADIUS
+        linked = open_[near]
+        if len(linked):
+            # the classes so far, joined by the new links
+            root = local_roots(len(fps), root[lead[linked]], root[who[linked]])[root]
+        key, who, turn = np.delete(key, drawn), np.delete(who, drawn), turn + 2
     tied = np.flatnonzero(root != np.arange(len(fps)))
     return tied, root[tied]
 
@@ -339,7 +346,8 @@ def _row_classes(marked: DataFrame, text: str, row: str, shingle: int = 5) -> Da
         links = [np.zeros((2, 0), dtype=np.int64)]
         for k in range(OWN):
             for fps in (sketches[:, k] >> np.uint64(32), sketches[:, k] & np.uint64(0xFFFFFFFF)):
-                links.append(np.stack(verified_links(fps, sketches, key[0].as_py() % (1 << bits), bits)))
+                for part in range(1 << PART_BITS):
+                    links.append(np.stack(verified_links(fps, sketches, key[0].as_py() % (1 << bits) | part << bits, bits + PART_BITS)))
         root = local_roots(len(sketches), *np.concatenate(links, axis=1))
         tied = np.flatnonzero(root != np.arange(len(root)))
         node = got.column("node").to_numpy()

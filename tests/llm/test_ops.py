@@ -126,6 +126,21 @@ def test_near_copies_on_both_sides_of_the_threshold(spark):
     assert len(set(got.values())) == 600 - sum(same)
 
 
+def test_variants_link_all_that_are_near():
+    """An original, copies near it but not near each other, and other texts, all with the same short fingerprint."""
+    rng = np.random.default_rng(8)
+    off = lambda x, n: x ^ np.packbits(np.isin(np.arange(x.size * 64), rng.choice(x.size * 64, n, replace=False))).view(np.uint64)
+    width = simhash.FILTER
+    texts = [rng.integers(0, 2**64, width, dtype=np.uint64) for _ in range(60)]
+    for k in range(8):
+        texts += [off(texts[k], simhash.SKETCH_RADIUS * 2 // 3) for _ in range(40)]
+    texts = np.array(texts)[rng.permutation(len(texts))]
+    want = components.local_roots(len(texts), *np.nonzero(np.triu(np.bitwise_count(texts[:, None] ^ texts[None, :]).sum(axis=2) <= simhash.SKETCH_RADIUS, 1)))
+    a, b = simhash.verified_links(np.full(len(texts), 0b1011, dtype=np.uint64), texts, 0b11, 2)
+    got = components.local_roots(len(texts), a, b)
+    assert len(set(want.tolist())) == 60 and (got == want).all()
+
+
 def test_similar_links_are_all_pairs():
     rng = np.random.default_rng(4)
     sets = []
