@@ -7,8 +7,10 @@ candidate is reported only if it proves to be what it looks like:
 * ``pem``: a block between key markers whose base64 decodes to a DER key or an OpenSSH private key;
 * ``der``: a base64 or hex run that decodes to a DER key: a sequence whose nested lengths add up, and which holds a
   version number and then the integers or the algorithm and octets of a private key;
-* ``ssh``: a base64 run that decodes to an OpenSSH private key, its length-prefixed fields adding up;
-* ``wrapped``: a base64 run that decodes to printable text in which the base patterns find a secret.
+* ``ssh``: a base64 or hex run that decodes to an OpenSSH private key, its length-prefixed fields adding up;
+* ``wrapped``: a base64 or hex run that decodes to printable text in which the base patterns find a secret.
+
+A run may go over several lines of equal length (but for the first and the last); a line break may be written as \\n.
 
 Spans are in code points, ends exclusive; within a kind they don't overlap.
 
@@ -34,8 +36,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}")
-HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Fa-f])")
+#: A run starts where no letter of base64 is before it, or after an escaped line break or tab.
+START = r"(?:(?<![A-Za-z0-9+/_-])(?<!\\(?=[nrt]))|(?<=\\[nrt]))"
+BREAK = r"[ \t]*(?:(?:\\+r)?\\+n|\\?\r?\n)[ \t]*"
+#: The shortest text that the base patterns find, token=abcdef, has 16 letters in base64 and 24 in hex.
+BASE64 = re.compile(START + r"[A-Za-z0-9+/_-]{16,}+={0,2}")
+LINES = re.compile(START + rf"[A-Za-z0-9+/_-]{{16,}}+(?:{BREAK}[A-Za-z0-9+/_-]++)++={{0,2}}")
+LINE = re.compile(rf"({BREAK})")
+ESCAPED = re.compile(r"(?:\\+r)?\\+n")
+HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{24,}|[0-9A-F]{24,})(?![0-9A-Fa-f])")
+HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){12,}|(?:[0-9A-F]{2}){12,}")
 #: Kinds in the order in which spans of equal start are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh", "wrapped")
 BASE = KINDS[:3]
@@ -133,28 +143,64 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def _proved(data: bytes | None) -> str | None:
+    """The kind that the structure of decoded bytes confirms."""
+    if not data:
+        return None
+    if is_der_key(data):
+        return "der"
+    if is_openssh_key(data):
+        return "ssh"
+    return "wrapped" if all(32 <= b < 127 or b in (9, 10, 13) for b in data) and base_spans(data.decode()) else None
+
+
+def _kind(run: str) -> str | None:
+    return _proved(_decode(run)) or (_proved(bytes.fromhex(run)) if HEX_RUN.fullmatch(run) else None)
+
+
+def _wrapped_lines(text: str) -> list[tuple[int, int, str]]:
+    """Spans of runs over several lines: a first line, lines of equal length, and perhaps a last shorter one."""
+    out = []
+    for m in LINES.finditer(text):
+        parts = LINE.split(m[0])
+        lines, at, places = parts[::2], m.start(), []
+        for k, part in enumerate(parts):
+            if k % 2 == 0:
+                places.append((at, at + len(part)))
+            at += len(part)
+        size = [len(x.rstrip("=")) for x in lines]
+        i = 0
+        while i + 1 < len(lines):
+            j = i + 1  # the last line of the same length as the one after the first
+            while j + 1 < len(lines) and size[j + 1] == size[i + 1]:
+                j += 1
+            # a line shorter than the first is the last; else the next shorter one may belong to the run, or be a word after it
+            ends = [i + 1] * (size[i + 1] < size[i]) + [j + 1] * (j + 1 < len(lines) and size[j + 1] < size[j]) + [j]
+            found = next(((k, kind) for k in ends if (kind := _kind("".join(lines[i : k + 1])))), None)
+            if found:
+                out.append((places[i][0], places[found[0]][1], found[1]))
+            # else from the next line that differs in length
+            i = found[0] + 1 if found else i + 1 if size[i] != size[i + 1] else j
+    return out
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans that the structure of decoded candidates confirms."""
     out = []
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            data = _decode("".join(line for line in m[2].splitlines() if ":" not in line).replace(" ", ""))
+            data = _decode("".join(line for line in ESCAPED.sub("\n", m[2]).splitlines() if ":" not in line).replace(" ", ""))
             if data and (is_der_key(data) or is_openssh_key(data)):
                 out.append((m.start(), m.end(), "pem"))
     if "eyJ" in text or "ewog" in text or "eyA" in text:  # a JSON object's first characters
         out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if _is_jwt(m[1], m[2])]
-    for m in BASE64.finditer(text):
-        data = _decode(m[0])
-        if not data:
-            continue
-        if is_der_key(data):
-            out.append((m.start(), m.end(), "der"))
-        elif is_openssh_key(data):
-            out.append((m.start(), m.end(), "ssh"))
-        elif all(32 <= b < 127 or b in (9, 10, 13) for b in data) and base_spans(data.decode()):
-            out.append((m.start(), m.end(), "wrapped"))
-    out += [(m.start(), m.end(), "der") for m in HEX_ANY.finditer(text) if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0]))]
-    return out
+    runs = _wrapped_lines(text)
+    for pattern in (BASE64, HEX_ANY):
+        for m in pattern.finditer(text):
+            kind = _kind(m[0])
+            if kind and not any(a < m.end() and m.start() < b and k == kind for a, b, k in runs):
+                runs.append((m.start(), m.end(), kind))
+    return out + runs
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:
@@ -168,7 +214,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{24}|-----BEGIN|eyJ|ewog|eyA")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16}|-----BEGIN|eyJ|ewog|eyA")
 
 
 def scan(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:

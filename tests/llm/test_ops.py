@@ -327,6 +327,28 @@ def test_secrets():
     assert secrets.masked("a token=abcdef12 b") == "a [SECRET] b" and secrets.masked(None) is None and secrets.masked("clean") == "clean"
 
 
+def test_secrets_in_every_form():
+    kinds = lambda t: [(k, t[a:b]) for a, b, k in secrets.find(t) if k not in secrets.BASE]
+    rsa = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([3 + i] * 40)) for i in range(8)))
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = secrets.OPENSSH + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 51) + field(b"s" * 130)
+    key, short = base64.b64encode(rsa).decode(), base64.b64encode(b"password=hunter2").decode()
+    for name in ("PRIVATE_KEY=", "export A_LONG_NAME_OF_A_VARIABLE_FOR_KEYS=", "k: ", "{'k':'"):
+        assert kinds(f"{name}{key}\n") == [("der", key)]
+        assert kinds(f"{name}{short} x") == [("wrapped", short)] and kinds(base64.b64encode(b"token=abcdef").decode())
+    for data, kind in ((rsa, "der"), (ssh, "ssh"), (b"some words first, and then a password = correcthorse9 in a longer text of several lines", "wrapped")):
+        for width, gap in ((64, "\n"), (76, "\r\n  "), (64, "\\n"), (64, "\\r\\n")):
+            run = base64.b64encode(data).decode()
+            lines = gap.join(run[i : i + width] for i in range(0, len(run), width))
+            for before, after in (("", ""), ("KEY=", gap + "end"), ("see:" + gap, gap + "a line after it"), ("x y" + gap, " z")):
+                assert (kind, lines) in kinds(before + lines + after)
+        assert kinds(f"id {data.hex()} x") == [(kind, data.hex())] and kinds(f"id={data.hex().upper()}") == [(kind, data.hex().upper())]
+    body = "\\n".join(key[i : i + 64] for i in range(0, len(key), 64))
+    pem = f"-----BEGIN PRIVATE KEY-----\\n{body}\\n-----END PRIVATE KEY-----"
+    assert ("pem", pem) in kinds('{"private_key": "' + pem + '\\n"}')
+    assert kinds("internationalization_of\nstandardisations\nand 0123456789abcdef01234567") == []
+
+
 def test_secrets_odd_tables(odd, empty):
     assert {len(r["spans"]) for r in secrets.scan(odd).collect()} == {0}
     assert secrets.redact(odd).columns == odd.columns and sorted(map(str, secrets.redact(odd).collect())) == sorted(map(str, odd.collect()))
