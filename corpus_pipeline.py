@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame; all but the last
 return the columns of documents.  ``run`` writes each stage's result as Parquet in the shared folder and reads it again.
+The mixing and packing stages delete what the stages before left in the shared folder, but for what ``docs`` reads: the
+results of earlier stages must be saved before.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm._common import materialize, table
+from seqloom.llm._common import clean_up, materialize, table
 from seqloom.llm.mixing import mix
 from seqloom.llm.packing import pack
 from seqloom.llm.quality import keep_good
@@ -34,12 +36,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are left out or repeated, up to three times, until their sources have their target weights."""
+    clean_up(spark, docs)
     return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' token ids in sequences of 4096."""
-    return pack(docs)
+    """All documents' token ids with their places in sequences of 4096."""
+    clean_up(spark, docs)
+    return pack(docs, with_ids=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]

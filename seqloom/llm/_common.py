@@ -40,12 +40,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clean_up(spark: SparkSession) -> None:
-    """Deletes all tables that ``materialize`` wrote; results that still read them must have been saved before."""
+def clean_up(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Deletes all tables that ``materialize`` wrote but those that ``keep`` reads; other results that still read them must have been saved before."""
     jvm = spark._jvm
+    read = {part for f in keep.inputFiles() for part in f.split("/")} if keep is not None else set()
+    kept = [path for path in _written if path.rsplit("/", 1)[-1] in read]
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if (name := _written.pop()) not in kept:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written.extend(kept)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -60,6 +60,8 @@ def first_fit_decreasing(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.nd
     return bins, offsets
 
 
+#: Ids in a batch of pieces that are returned with them, at least, unless no more follow.
+BATCH_IDS = 1 << 18
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -69,18 +71,29 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = 2, length: in
     end = struct.pack("<I", end_id)
     names = [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * with_ids
 
+    def record(rows, ids):
+        columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
+        if with_ids:
+            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+            columns.append(pa.ListArray.from_arrays(np.cumsum([0] + [r[2] for r in rows]).astype(np.int32), flat))
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     def run(batches):
         for batch in batches:
-            enc, out = encoder(path), [[] for _ in names]
+            enc, rows, cut, held = encoder(path), [], [], 0
             for doc_id, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
                 ids = enc.encode(text.as_py() or b"") + end
                 n = len(ids) // 4
                 for start in range(0, n, length):
                     piece = ids[4 * start : 4 * (start + length)]
-                    row = (doc_id.as_py(), start, len(piece) // 4, zlib.crc32(piece), n)
-                    for column, x in zip(out, row + ((np.frombuffer(piece, "<u4").tolist(),) if with_ids else ())):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64()) if k == 5 else pa.int64()) for k, c in enumerate(out)], names=names)
+                    rows.append((doc_id.as_py(), start, len(piece) // 4, zlib.crc32(piece), n))
+                    if with_ids:
+                        cut.append(piece)
+                        held += len(piece) // 4
+                    if held >= BATCH_IDS:
+                        yield record(rows, cut)
+                        rows, cut, held = [], [], 0
+            yield record(rows, cut)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE + ", ids array<long>" * with_ids)
 

@@ -472,3 +472,12 @@ def test_pipeline_stages(spark, sf_dir):
     mixed = got["mixing"](spark, docs, sf_dir)
     plan = {r["doc_id"]: r["passes"] for r in mixing.mix_plan(docs).collect()}
     assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {d: n for d, n in plan.items() if n}
+
+
+def test_pipeline_ends_with_the_sequences(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)
+    rows = dict(corpus_pipeline.STAGES)["packing"](spark, docs.unionByName(docs), sf_dir).collect()
+    assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) >= 100
