@@ -1,5 +1,6 @@
 """Hand-checked values of the sequence functions, metrics, statistics and fits."""
 
+import itertools
 import math
 
 import numpy as np
@@ -144,6 +145,25 @@ def test_tricluster_of_the_small_cube(spark):
     assert [(r["t"], r["s"], r["g"]) for r in found] == [([0, 1], [0, 1, 2], [0, 1, 2])]
 
 
+def test_biclusters_over_overlapping_runs(spark):
+    """Every choice of one run for each pair of features, in a cube so dense that runs overlap."""
+    rng = np.random.default_rng(3)
+    cube = spark.createDataFrame([(0, s, g, float(v)) for g in range(60) for s, v in enumerate(np.round(rng.uniform(1, 1.6, 4), 3))], "t int, s int, g long, val double")
+    edges = TR.ratio_edges(cube, 0.15, 4).persist()
+    runs = {}
+    for r in edges.collect():
+        runs.setdefault((r["s1"], r["s2"]), set()).add(frozenset(r["g"]))
+    found = {(frozenset(p), g) for p, gs in runs.items() for g in gs}
+    for s in [c for n in (3, 4) for c in itertools.combinations(range(4), n)]:
+        sets = {frozenset(range(60))}
+        for p in itertools.combinations(s, 2):
+            sets = {a & b for a in sets for b in runs.get(p, ()) if len(a & b) >= 4}
+        found |= {(frozenset(s), g) for g in sets}
+    want = {(s, g) for s, g in found if not any(s <= s2 and g <= g2 and (s, g) != (s2, g2) for s2, g2 in found)}
+    got = [(frozenset(r["s"]), frozenset(r["g"])) for r in TR.biclusters(edges, 2, 4).collect()]
+    assert sum(len(s) > 2 for s, _ in want) > 50 and len(got) == len(set(got)) and set(got) == want
+
+
 def test_cube_source_round_trip(spark, tmp_path):
     from seqloom.sources.cube import CubeSource, parse, render
 
