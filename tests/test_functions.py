@@ -164,6 +164,12 @@ def test_biclusters_over_overlapping_runs(spark):
     assert sum(len(s) > 2 for s, _ in want) > 50 and len(got) == len(set(got)) and set(got) == want
 
 
+def test_importance_of_every_feature(spark, sf_dir):
+    from seqloom.plans import mining_queries
+
+    assert [r["feature"] for r in mining_queries.permutation_importance(spark, sf_dir).collect()] == list(mining_queries.DIFFS)
+
+
 def test_cube_source_round_trip(spark, tmp_path):
     from seqloom.sources.cube import CubeSource, parse, render
 
