@@ -404,22 +404,48 @@ def test_mix_is_near_its_targets(spark, sf_dir):
 # --- search, languages, toxicity --------------------------------------------------------------------------------------
 
 
+def brute_search(rows, queries, k):
+    """Every row (vec_id, vector) whose place is in ``queries`` against all others."""
+    ok = [(n, i, [int(np.floor(1024 * x)) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v and None not in v and np.isfinite(v).all()]
+    out = []
+    for n, i, v in ok:
+        if n in queries:
+            cut = lambda s: max(-(2**63), min(2**63 - 1, s))
+            best = sorted((-cut(sum(a * b for a, b in zip(v, w))), j) for m, j, w in ok if m != n and len(w) == len(v))[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
 def test_search_against_all_pairs(spark):
+    """Nulls, odd vectors, ties, repeated ids (as queries and candidates), and vectors beyond exact doubles."""
     rng = np.random.default_rng(5)
     rows = [(i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(240)]
+    rows += [(0, [2.0] * 6), (100, [-1.0] * 6), (100, [-1.0] * 6)]
     rows += [(500, None), (501, [1.0, None, 2.0]), (502, [float("nan")] * 6), (503, [1.0]), (200, [3.0] * 6), (None, [1.0] * 6), (600, [1e300] * 6), (700, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [tuple(r) for r in topk.search(df, F.col("vec_id") % 100 == 0, 10, block=2).orderBy("query_id", "rank").collect() if r["query_id"] in (0, 100)]
-    ok = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and len(v) == 6]
-    want = []
-    for q in (0, 100):
-        v = dict(ok)[q]
-        best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w)))), i) for i, w in ok if i != q)[:10]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == want
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
+    got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 100 == 0, 10, block=2).collect())
+    assert got == brute_search(rows, {n for n, (i, _) in enumerate(rows) if i is not None and i % 100 == 0}, 10)
     assert topk.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_the_cutoff_spares_scores():
+    """On vectors in clusters most pairs are given up before their last list; results stay those of all pairs."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 32)) * 3
+    x = np.floor(1024 * (centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 32)) * 0.3))
+    rows, q = np.arange(3000), topk.Queries(np.arange(0, 3000, 100), x[::100], 4)
+    i, s = topk.gather(rows, x, q, 10)
+    cutoff = np.array([np.sort(s[i == n])[-10] for n in range(30)])
+    full = x[::100] @ x.T
+    r, c, score = topk.collect(q.vectors, q.lengths, x, q.edges, cutoff)
+    assert sorted(zip(r.tolist(), c.tolist(), score.tolist())) == sorted((a, b, full[a, b]) for a, b in zip(*np.nonzero(full >= cutoff[:, None])))
+    able = (q.lengths @ topk.lengths(x, q.edges).T >= cutoff[:, None]).mean()
+    assert able < 0.9
+    got = topk.resolve(rows, rows, x, q, cutoff, 10)
+    want = [(n, int(v), int(full[n, v])) for n in range(30) for v in sorted((v for v in range(3000) if v != 100 * n), key=lambda v: (-full[n, v], v))[:10]]
+    assert sorted(zip(*(p.tolist() for p in got))) == sorted(want)
+
+
 def test_languages(spark, sf_dir, odd, empty):
     docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
     net = langid.train(langid.sample(docs, ~langid.held_out(4, 2), 300))
