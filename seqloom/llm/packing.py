@@ -6,13 +6,12 @@ sequence with room, found in a tournament tree over the sequences' remaining cap
 
 Texts are encoded where they are read; what is shuffled is a row of four numbers for each piece.
 
-Defined cases: a null or empty text is the end id alone; equal doc_ids are separate documents with pieces of their own; an
-empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text is the end id alone; a very long text makes many whole pieces; equal and null doc_ids
+are separate documents with pieces of their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
 
 import numpy as np
@@ -66,27 +65,25 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces(docs: DataFrame, path: str | None = None, end_id: int = 2, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
-    """One row for each piece of each document; with its ids, if asked for."""
+    """One row for each piece of each document; with its ids as little-endian unsigned 32-bit integers, if asked for."""
     path = path or vocabulary()
-    end = struct.pack("<I", end_id)
+    end = np.array([end_id], dtype="<u4")
     names = [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * with_ids
 
     def record(rows, ids):
         columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
-        if with_ids:
-            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-            columns.append(pa.ListArray.from_arrays(np.cumsum([0] + [r[2] for r in rows]).astype(np.int32), flat))
-        return pa.RecordBatch.from_arrays(columns, names=names)
+        return pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=names)
 
     def run(batches):
+        enc = encoder(path)
         for batch in batches:
-            enc, rows, cut, held = encoder(path), [], [], 0
-            for doc_id, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
-                ids = enc.encode(text.as_py() or b"") + end
+            rows, cut, held = [], [], 0
+            for doc_id, found in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1))):
+                ids = np.concatenate([found, end]).astype("<u4").tobytes()
                 n = len(ids) // 4
                 for start in range(0, n, length):
                     piece = ids[4 * start : 4 * (start + length)]
-                    rows.append((doc_id.as_py(), start, len(piece) // 4, zlib.crc32(piece), n))
+                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n))
                     if with_ids:
                         cut.append(piece)
                         held += len(piece) // 4
@@ -95,7 +92,7 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = 2, length: in
                         rows, cut, held = [], [], 0
             yield record(rows, cut)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE + ", ids array<long>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, length: int = LENGTH, group: int = GROUP, seed: int = 6, with_ids: bool = False) -> DataFrame:
@@ -118,4 +115,5 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, length: int
 
 
 def op6_pack(spark, sf_dir: str) -> DataFrame:
+    """Nulls, empty and very long texts, repeated doc_ids and an empty table: as the module states."""
     return pack(table(spark, sf_dir, "documents"))

@@ -6,11 +6,13 @@ a constant number of probes and an absent key is told apart but for one in 2**32
 Spark, so any store that Spark reaches will do, a commit is whole or absent, and a lost executor costs a retry.
 
 The hash is a cascade of bit arrays: a key takes the bit that a hash of it names if no other key does, else it goes on
-to the next array; the rank of the bit taken is the key's slot.
+to the next array; the rank of the bit taken is the key's slot.  Ranks are stored for every word of 64 bits, so nothing
+is unpacked or counted when a shard is opened.  ``lookup`` reads the shards' key ranges, then the index columns of the
+shards that can hold a key, and last, of the payload, the slices that the index names.
 
 Defined cases: a null or empty text has no ids but the end id; rows with equal doc_ids keep their own ids, stand side by
-side and share one key, found as a run; a null doc_id comes first in the order and has no key; an empty table makes no
-shard; other columns are ignored.
+side (by a hash of the text) and share one key, found as a run; a null doc_id comes first in the order and has no key; an
+empty table makes no shard; a very long text is encoded in one piece and makes its shard longer; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +32,10 @@ from ._common import materialize, table
 
 #: Ids in a shard, at least, unless the partition ends.
 SHARD_IDS = 1_000_000
-#: Distinct white-space-separated chunks whose ids a worker remembers, and their longest length in bytes.
-REMEMBERED, LONGEST = 500_000, 64
+#: Distinct white-space-separated chunks whose ids a worker remembers, and their longest length.
+REMEMBERED, LONGEST = 400_000, 48
+#: Bytes of text that are encoded together, but for a longer single text.
+TEXT_AT_ONCE = 4 << 20
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -43,14 +48,17 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Encodes UTF-8 texts chunk by chunk with the tokenizers library, remembering the ids of common chunks.
+    """Encodes texts chunk by chunk with the tokenizers library, remembering the ids of chunks.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are its chunks' ids in order.
-    Special tokens hold no white space either.  A chunk of small letters a-z only is a single piece that the normalizer
-    and the pre-tokenizer leave as it is, and goes to the model at once; the library's whole way is taken otherwise.
+    Special tokens hold no white space either.  A chunk of letters of Latin-1, which composition leaves as they are, and a
+    mark at most is one or two pieces, which go to the model at once; the library's whole way is taken otherwise.
     """
 
-    PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?|]?)\Z")
+    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|]?)\\Z")
+    #: The byte-level form of a text: visible bytes stand for themselves, the others for characters from U+0100 on.
+    VISIBLE = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    BYTES = {b: chr(b) for b in VISIBLE} | {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD))}
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -58,33 +66,56 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
-            if len(self.pieces) < REMEMBERED:
-                self.pieces[piece] = ids
-        return ids
-
-    def chunk(self, chunk: bytes) -> bytes:
-        plain = self.PLAIN.match(chunk)
-        if plain:
-            ids = self._piece(plain[1].lower().decode())
-            if plain[2]:
-                ids += self._piece(plain[2].decode())
-        else:
-            ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self.known) < REMEMBERED and len(chunk) <= LONGEST:
-            self.known[chunk] = ids
-        return ids
-
-    def encode(self, text: bytes) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        known, chunk = self.known.get, self.chunk
-        return b"".join([known(c) or chunk(c) for c in text.split()])
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.BYTES)
+        return struct.pack(f"<{len(found)}I", *found) if (found := [t.id for t in self.model.tokenize(piece)]) else b""
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks that are not known."""
+        out, rest = [b""] * len(chunks), []
+        for i, chunk in enumerate(chunks):
+            if plain := self.PLAIN.match(chunk):
+                out[i] = self._piece(plain[1].lower()) + (self._piece(plain[2]) if plain[2] else b"")
+            else:
+                rest.append(i)
+        for i, got in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False)):
+            out[i] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+        room = REMEMBERED - len(self.known)
+        if room > 0:
+            self.known.update((c, x) for c, x in zip(chunks[:room], out) if len(c) <= LONGEST)
+        return out
+
+    def _together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = list(map(self.known.get, distinct))
+        missing = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(missing, self._learn([distinct[i] for i in missing])):
+            found[i] = x
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.arange(upto[-1]) + np.repeat(start[codes] - upto[:-1], n)]
+        words = lists.offsets.to_numpy()
+        return ids, upto[words - words[0]]
+
+    def encode_many(self, texts: pa.Array):
+        """The ids of each text, null ones being empty, as arrays of unsigned 32-bit integers."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy()) // TEXT_AT_ONCE
+        for a, b in zip(cuts := [0, *(np.flatnonzero(np.diff(size)) + 1).tolist()], [*cuts[1:], len(texts)]):
+            if b > a:
+                ids, at = self._together(texts.slice(a, b - a))
+                yield from np.split(ids, at[1:-1])
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text."""
+        return next(self.encode_many(pa.array([text], pa.string())))
 
 
 def encoder(path: str) -> Encoder:
@@ -107,44 +138,48 @@ def _mix(keys: np.ndarray, level: int) -> np.ndarray:
 class PerfectHash:
     """Maps n distinct 64-bit keys onto 0..n-1; any other key to some slot or -1."""
 
-    def __init__(self, levels: list[np.ndarray]):
-        self.levels = levels  # boolean arrays
-        self.ranks, before = [], 0
-        for bits in levels:
-            self.ranks.append(before + np.cumsum(bits) - 1)
-            before += int(bits.sum())
-        self.n = before
+    def __init__(self, levels: list[tuple[int, np.ndarray, np.ndarray]]):
+        self.levels = levels  # for each bit array: its length, its words of 64 bits, and the ones before each word
 
     @classmethod
     def build(cls, keys: np.ndarray, room: float = 1.5) -> "PerfectHash":
-        left, levels = np.unique(keys), []
+        left, levels, before = np.unique(keys), [], 0
         while len(left):
-            size = max(8, int(len(left) * room))
+            size = max(64, int(len(left) * room))
             at = (_mix(left, len(levels)) % np.uint64(size)).astype(np.int64)
-            bits = np.bincount(at, minlength=size) == 1
-            levels.append(bits)
+            bits = np.bincount(at, minlength=-(-size // 64) * 64) == 1
+            words = np.packbits(bits, bitorder="little").view("<u8")
+            ones = np.bitwise_count(words).astype(np.int64)
+            levels.append((size, words, (before + np.cumsum(ones) - ones).astype("<u4")))
+            before += int(ones.sum())
             left = left[~bits[at]]
         return cls(levels)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         out, open_ = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys))
-        for level, (bits, ranks) in enumerate(zip(self.levels, self.ranks)):
-            at = (_mix(keys[open_], level) % np.uint64(len(bits))).astype(np.int64)
-            hit = bits[at]
-            out[open_[hit]] = ranks[at[hit]]
+        for level, (size, words, ranks) in enumerate(self.levels):
+            at = _mix(keys[open_], level) % np.uint64(size)
+            word, bit = words[(at >> np.uint64(6)).astype(np.int64)], at & np.uint64(63)
+            hit = (word >> bit) & np.uint64(1) == 1
+            lower = word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1))
+            out[open_[hit]] = ranks[(at[hit] >> np.uint64(6)).astype(np.int64)] + np.bitwise_count(lower).astype(np.int64)
             open_ = open_[~hit]
+            if not len(open_):
+                break
         return out
 
     def dump(self) -> bytes:
-        return struct.pack("<I", len(self.levels)) + b"".join(struct.pack("<I", len(b)) + np.packbits(b).tobytes() for b in self.levels)
+        sizes = [size for size, _, _ in self.levels]
+        return struct.pack(f"<{1 + len(sizes)}I", len(sizes), *sizes) + b"".join(words.tobytes() + ranks.tobytes() for _, words, ranks in self.levels)
 
     @classmethod
     def load(cls, data: bytes) -> "PerfectHash":
-        (n,), at, levels = struct.unpack_from("<I", data), 4, []
-        for _ in range(n):
-            (size,) = struct.unpack_from("<I", data, at)
-            levels.append(np.unpackbits(np.frombuffer(data, np.uint8, (size + 7) // 8, at + 4), count=size).astype(bool))
-            at += 4 + (size + 7) // 8
+        (n,) = struct.unpack_from("<I", data)
+        at, levels = 4 * (n + 1), []
+        for size in struct.unpack_from(f"<{n}I", data, 4):
+            words = -(-size // 64)
+            levels.append((size, np.frombuffer(data, "<u8", words, at), np.frombuffer(data, "<u4", words, at + 8 * words)))
+            at += 12 * words
         return cls(levels)
 
 
@@ -157,12 +192,12 @@ def _print(keys: np.ndarray) -> np.ndarray:
     return (_mix(keys, 1_000) >> np.uint64(32)).astype("<u4")
 
 
-def build_shard(number: int, doc_ids: list[int | None], ids: list[bytes]) -> dict:
-    """One shard's row.  doc_ids are in ascending order, nulls first; ids are little-endian unsigned 32-bit."""
+def build_shard(number: int, doc_ids: list[int | None], ids: list[np.ndarray]) -> dict:
+    """One shard's row.  doc_ids are in ascending order, nulls first."""
     given = np.array([d is not None for d in doc_ids], dtype=bool)
     keys = np.array([d or 0 for d in doc_ids], dtype="<i8")
-    starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype("<i8")
-    all_ids = np.frombuffer(b"".join(ids), dtype="<u4")
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("<i8")
+    all_ids = np.concatenate(ids).astype("<u4")
     width = 2 if not len(all_ids) or all_ids.max() < 1 << 16 else 4
     distinct, first = np.unique(keys[given], return_index=True)
     distinct = distinct.view(np.uint64)
@@ -179,7 +214,7 @@ def build_shard(number: int, doc_ids: list[int | None], ids: list[bytes]) -> dic
 
 
 class Shard:
-    """A shard read back."""
+    """A shard read back, with or without its payload."""
 
     def __init__(self, row: dict):
         self.keys = np.frombuffer(row["keys"], "<i8")
@@ -187,7 +222,7 @@ class Shard:
         self.starts = np.frombuffer(row["starts"], "<i8")
         self.hash = PerfectHash.load(row["hash"])
         self.rows, self.prints = np.frombuffer(row["rows"], "<u4"), np.frombuffer(row["prints"], "<u4")
-        self.payload = np.frombuffer(row["payload"], f"<u{row['width']}")
+        self.payload = np.frombuffer(row.get("payload") or b"", f"<u{row['width']}")
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The first document of each key, -1 where the shard has none."""
@@ -210,16 +245,17 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 1, shar
     Shard numbers ascend with doc_id.  Texts are dealt by ranges of doc_id, the only shuffle.
     """
     path = path or vocabulary()
-    end = struct.pack("<I", end_id)
+    end = np.array([end_id], dtype="<u4")
 
     def run(batches):
         enc, part, made, doc_ids, ids, held = encoder(path), None, 0, [], [], 0
         for batch in batches:
-            for part_id, doc_id, text in zip(batch.column(2), batch.column(0), batch.column(1).cast(pa.binary())):
-                part = part_id.as_py() if part is None else part
-                doc_ids.append(doc_id.as_py())
-                ids.append(enc.encode(text.as_py() or b"") + end)
-                held += len(ids[-1]) // 4
+            if part is None and batch.num_rows:
+                part = batch.column(2)[0].as_py()
+            for doc_id, found in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1))):
+                doc_ids.append(doc_id)
+                ids += [np.concatenate([found, end])]
+                held += len(ids[-1])
                 # documents of equal doc_id may end up in neighbouring shards, as they may in neighbouring partitions
                 if held >= shard_ids:
                     yield pa.RecordBatch.from_pylist([build_shard((part << 32) + made, doc_ids, ids)], schema=layout)
@@ -228,7 +264,9 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 1, shar
             yield pa.RecordBatch.from_pylist([build_shard((part << 32) + made, doc_ids, ids)], schema=layout)
 
     layout = _arrow(SHARD)
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # equal doc_ids, nulls among them, may be many: the hash of the text lets them go to several partitions
+    order = ("doc_id", F.xxhash64("text"))
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
     return materialize(ordered.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(run, SHARD), tag)
 
 
@@ -265,24 +303,50 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 
 def lookup(shards: DataFrame, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of the first document of each of a given list of keys; only shards that can hold one are read."""
-    wanted = sorted(set(doc_ids))
+    """(doc_id, ids) of the first document of each of a given list of keys.
 
-    def run(batches):
+    Three narrow reads: key ranges of all shards; the index columns of the shards in whose range a key lies; the payload
+    of those that hold one, cut to the documents' slices where it is read.  What reaches the driver is, for each key, a
+    few numbers.
+    """
+    spark = shards.sparkSession
+    wanted = np.array(sorted(set(doc_ids)), dtype=np.int64)
+
+    def probe(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row)
-                at = shard.find(np.array(wanted, dtype=np.int64))
-                got = [(d, shard.ids(p).tolist()) for d, p in zip(wanted, at) if p >= 0]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([x for _, x in got], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+                at = shard.find(wanted)
+                hit = np.flatnonzero(at >= 0)
+                start = shard.starts[at[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(wanted[hit]), pa.array(np.full(len(hit), row["shard"])), pa.array(start), pa.array(shard.starts[at[hit] + 1] - start), pa.array(np.full(len(hit), row["width"]))], names=["doc_id", "shard", "offset", "n", "width"])
+
+    nothing = spark.createDataFrame([], "doc_id long, ids array<long>")
+    if not len(wanted):
+        return nothing
+    within = F.exists(F.array(*map(F.lit, wanted.tolist())), lambda k: k.between(F.col("first_doc"), F.col("last_doc")))
+    able = [r[0] for r in shards.select("shard", "first_doc", "last_doc").where(within).select("shard").collect()]
+    if not able:
+        return nothing
+    index = shards.where(F.col("shard").isin(able)).select("shard", "width", "keys", "has_key", "starts", "hash", "rows", "prints")
+    found = index.mapInArrow(probe, "doc_id long, shard long, offset long, n long, width long")
+    first = sorted(tuple(r) for r in found.groupBy("doc_id").agg(F.min(F.struct("shard", "offset", "n", "width")).alias("x")).select("doc_id", "x.*").collect())
+    if not first:
+        return nothing
+    slices = F.array(*[F.struct(*[F.lit(int(x)).alias(n) for x, n in zip(r, ("doc_id", "in_shard", "offset", "n", "width"))]) for r in first])
+    held = shards.where(F.col("shard").isin(sorted({r[1] for r in first}))).select("shard", "payload", F.explode(F.filter(slices, lambda x: x["in_shard"] == F.col("shard"))).alias("x"))
+    cut = held.select("x.doc_id", "x.width", F.substring("payload", (F.col("x.offset") * F.col("x.width") + 1).cast("int"), (F.col("x.n") * F.col("x.width")).cast("int")).alias("raw"))
+
+    def unpack(batches):
+        for batch in batches:
+            ids = [np.frombuffer(raw.as_buffer(), f"<u{width}").astype(np.int64) for raw, width in zip(batch.column(2), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    if not wanted:
-        return shards.sparkSession.createDataFrame([], "doc_id long, ids array<long>")
-    near = shards.where((F.col("last_doc") >= wanted[0]) & (F.col("first_doc") <= wanted[-1]))
-    return near.mapInArrow(run, "doc_id long, ids array<long>")
+    return cut.select(F.col("doc_id").cast("long"), "width", "raw").mapInArrow(unpack, "doc_id long, ids array<long>")
 
 
 def op3_tokens(spark, sf_dir: str) -> DataFrame:
+    """Nulls, empty and very long texts, repeated and null doc_ids and an empty table: as the module states."""
     shards = write_shards(table(spark, sf_dir, "documents"))
     found = read_documents(shards).join(F.broadcast(shard_starts(shards)) if shards.count() <= 10_000 else shard_starts(shards), "shard")
     return found.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
