@@ -14,15 +14,20 @@ GAP = r"[\x20\x09-\x0D]+"
 _own_dir: list[str] = []
 _written: list[str] = []
 
+#: Keys with more rows than this may be hot; the most frequent ones, no more than ``MOST_HOT``, are looked up by broadcast.
+HOT_ROWS, MOST_HOT = 200, 1_024
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session leaves that unset (tests on one machine) is a folder of our own made.
+    Only where the session leaves that unset and runs on one machine (tests) is a folder of our own made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="seqloom-"))
     return _own_dir[0]
@@ -72,3 +77,22 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def look_up(rows: DataFrame, key: str, found: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the further columns of ``found``, which has one row for each ``key``; rows without one keep nulls.
+
+    ``found`` is read twice, so it should be a table or a short plan.
+
+    No key's rows meet in one task: the ``MOST_HOT`` most frequent keys (by ``counts``: key, n; else counted here) are
+    looked up in a broadcast of as many rows at most, and their rows take no part in the shuffle by key; any other key has
+    less than one in ``MOST_HOT`` of the rows.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = counts.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(MOST_HOT).select(F.col(key).alias("hot_key"))
+    values = [c for c in found.columns if c != key]
+    held = F.broadcast(found.join(F.broadcast(hot), found[key] == F.col("hot_key")).select("hot_key", *[F.col(c).alias(f"hot_{c}") for c in values]))
+    spread = rows.join(held, F.col(key) == F.col("hot_key"), "left").withColumn("hot_salt", F.when(F.col("hot_key").isNull(), F.lit(0)).otherwise(F.xxhash64(*rows.columns)))
+    rest = found.select(F.col(key).alias("rest_key"), F.lit(0).cast("long").alias("rest_salt"), *[F.col(c).alias(f"rest_{c}") for c in values])
+    joined = spread.join(rest, (F.col(key) == F.col("rest_key")) & (F.col("hot_salt") == F.col("rest_salt")), "left")
+    return joined.select(*rows.columns, *[F.when(F.col("hot_key").isNull(), F.col(f"rest_{c}")).otherwise(F.col(f"hot_{c}")).alias(c) for c in values])

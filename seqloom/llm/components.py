@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import look_up, materialize
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -15,8 +15,9 @@ def contract(edges: DataFrame) -> DataFrame:
     In each round every node moves to the first of itself and its neighbours, by value in even rounds and by a hash in
     odd ones; edges follow their ends, loops and repeats go.  Even rounds fold stars, odd ones shorten paths, so the
     number of rounds grows with the logarithm of the graph.  First neighbours are found by an aggregation that combines
-    on the map side and ends are renamed by equi-joins, so a node with very many neighbours is no single task's work.
-    Empty and looping edges are allowed; loops make their node its own root unless other edges say otherwise.
+    on the map side, and ends and roots are renamed by ``look_up``, so neither a node with very many neighbours nor a
+    giant component is a single task's work.
+    Empty and looping edges are allowed; a node all of whose edges are loops has no row.
     """
     rounds: list[DataFrame] = []
     edges = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
@@ -24,18 +25,20 @@ def contract(edges: DataFrame) -> DataFrame:
         k = len(rounds)
         rank = (lambda c: F.struct(F.col(c).alias("r"), F.col(c).alias("n"))) if k % 2 == 0 else (lambda c: F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("r"), F.col(c).alias("n")))
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min(rank("v")).alias("near"))
-        moved = materialize(near.select(F.col("u").alias("node"), F.least(rank("u"), F.col("near"))["n"].alias("root")), "moved")
-        rounds.append(moved)
-        a, b = moved.select(F.col("node").alias("u"), F.col("root").alias("ru")), moved.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-        renamed = edges.join(a, "u").join(b, "v").where("ru <> rv")
-        edges = materialize(renamed.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "edges")
+        near = both.groupBy("u").agg(F.min(rank("v")).alias("near"), F.count("*").alias("n"))
+        moved = materialize(near.select(F.col("u").alias("node"), F.least(rank("u"), F.col("near"))["n"].alias("root"), "n"), "moved")
+        rounds.append(moved.select("node", "root"))
+        renamed = edges
+        for end in ("u", "v"):
+            named = moved.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+            renamed = look_up(renamed, end, named, moved.select(F.col("node").alias(end), "n"))
+        edges = materialize(renamed.where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "edges")
     if not rounds:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    out = rounds[0]
-    for later in rounds[1:]:
-        later = later.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        out = out.join(later, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+    out = rounds[-1]
+    for earlier in rounds[-2::-1]:
+        later = out.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        out = materialize(look_up(earlier, "root", later).select("node", F.coalesce("further", "root").alias("root")), "roots")
     return out
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, materialize, table
+from ._common import fresh, look_up, materialize, table
 from .components import contract, local_roots
 
 BITS = 64
@@ -132,7 +132,7 @@ def bucket_links(fps: np.ndarray, bucket: int, bits: int) -> tuple[np.ndarray, n
 
 def bucket_bits(n: int) -> int:
     """How many bits name a bucket, for n distinct fingerprints."""
-    return min(20, max(4, math.ceil(math.log2(max(1, n) * MEAN_VARIANTS / BUCKET_VARIANTS))))
+    return min(HALF, max(4, math.ceil(math.log2(max(1, n) * MEAN_VARIANTS / BUCKET_VARIANTS))))
 
 
 def links(distinct: DataFrame, n: int) -> DataFrame:
@@ -154,11 +154,12 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id that links reach."""
     rows = materialize(fingerprints(docs, text, id, shingle, seed), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = contract(links(distinct, distinct.count())).select(F.col("node").alias("fp"), "root")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
+    roots = contract(links(distinct.select("fp"), distinct.count())).select(F.col("node").alias("fp"), "root")
     classes = materialize(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "classes")
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(classes.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = materialize(look_up(classes.select("fp", "root"), "root", smallest).select("fp", "component_id"), "named")
+    return look_up(rows, "fp", named, distinct.select("fp", "n")).select("doc_id", "fp", "component_id")
 
 
 # --- near copies: several short fingerprints --------------------------------------------------------------------------
@@ -176,6 +177,11 @@ OWN, FILTER = 2, 5
 SKETCH_RADIUS = 72
 #: A bucket's variants are made and compared in parts, by that many further bits, to bound a task's memory.
 PART_BITS = 2
+#: Texts of a candidate class that are compared in one task; those of a larger class that go to all its tasks; and those
+#: that are compared with a whole class at once.
+CLASS, LEADERS, ASKED = 200, 32, 64
+#: Bitmaps of row numbers that are broadcast at most: 16 MB.
+MOST_MAPS = 4_096
 SHORT, SHORT_HALF = 32, 16
 SHORT_VARIANTS = (1 + 32 + 2 * (16 * 15 // 2) + 1 + 32) / 2
 
@@ -294,17 +300,91 @@ def similar_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def links_between(sets: list[np.ndarray], asking: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(asking set, other set) of all similarities of 0.8 or more between the sets that ask and the others, other parts only."""
+    asks, others = np.flatnonzero(asking), np.flatnonzero(~asking)
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    values = np.concatenate([sets[i] for i in others]) if len(others) else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(others)), size[others])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in asks:
+        low, high = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+        n = high - low
+        at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+        both = np.bincount(owner[at], minlength=len(others))
+        near = others[(both > 0) & (9 * both >= 4 * (size[i] + size[others])) & (part[others] != part[i])]
+        a.append(np.full(len(near), i))
+        b.append(near)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _picked(marked: DataFrame, row: str, wanted: DataFrame) -> DataFrame:
     """The rows of ``marked`` whose number ``row`` is in the one column of ``wanted``.
 
-    What travels are bitmaps, 4 KB for 32,768 numbers, and not the texts.
+    Up to ``MOST_MAPS`` bitmaps, 4 KB for 32,768 numbers, are sent to the texts; if there are more, texts are shuffled.
     """
     number = F.col(wanted.columns[0])
     maps = wanted.groupBy(F.bitmap_bucket_number(number).alias("map_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("map_bits"))
+    maps = materialize(maps, "maps")
+    if maps.count() > MOST_MAPS:
+        return marked.join(wanted.select(number.alias(row)).distinct(), row, "left_semi")
+    bucket, bits = fresh(marked, "map_bucket"), fresh(marked, "map_bits")
+    maps = maps.select(F.col("map_bucket").alias(bucket), F.col("map_bits").alias(bits))
     at = F.bitmap_bit_position(F.col(row))
-    byte = F.conv(F.hex(F.substring("map_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     here = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
-    return marked.join(F.broadcast(maps), F.bitmap_bucket_number(F.col(row)) == F.col("map_bucket")).where(here).select(*[marked[c] for c in marked.columns])
+    return marked.join(F.broadcast(maps), F.bitmap_bucket_number(F.col(row)) == F.col(bucket)).where(here).select(*[F.col(f"`{c}`") for c in marked.columns])
+
+
+def _linked_rows(marked: DataFrame, text: str, row: str, loose: DataFrame, shingle: int) -> DataFrame:
+    """(node, root): what similarities of 0.8 or more connect inside the candidate classes ``loose`` (node, root).
+
+    A class of up to ``CLASS`` texts is compared in one task.  A larger one is dealt into chunks of about that many; some
+    ``LEADERS`` of its texts go to every chunk.  What the links so far leave outside of the largest part of a class is then
+    compared, in blocks of about ``ASKED``, with all its chunks: a link not found yet has an end there.  So all links are
+    found that others don't imply, in tasks of bounded size; the cost of a class is its size times what its largest part
+    leaves out.
+    """
+    sizes = loose.groupBy("root").agg(F.count("*").alias("n"))
+    placed = look_up(loose, "root", sizes, sizes).withColumn("chunks", F.ceil(F.col("n") / CLASS))
+    placed = materialize(placed.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))), "candidate-classes")
+    texts = _picked(marked.select(F.col(row).alias("node"), F.col(text).alias("text")), "node", loose.select("node"))
+
+    def sets_of(got):
+        return [shingle_set(t or b"", shingle) for t in got.column("text").cast(pa.binary()).to_pylist()]
+
+    def compare(key, got):
+        a, b = similar_links(sets_of(got))
+        node = got.column("node").to_numpy()
+        return pa.table({"u": node[a], "v": node[b]})
+
+    leads = (F.col("chunks") > 1) & (F.pmod(F.xxhash64(F.lit("leader"), "node"), F.ceil(F.col("n") / LEADERS)) == 0)
+    dealt = texts.join(placed, "node").withColumn("chunk", F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk"))))
+    parts = contract(dealt.groupBy("root", "chunk").applyInArrow(compare, "u long, v long")).select("node", F.col("root").alias("part"))
+    parts = materialize(placed.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
+
+    large = parts.where("chunks > 1")
+    of_part = large.groupBy("root", "part").agg(F.count("*").alias("n"))
+    largest = of_part.groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("top"), (F.sum("n") - F.max("n")).alias("left_out"))
+    largest = materialize(largest.where("left_out > 0"), "largest-parts")
+    if largest.isEmpty():
+        return parts.select("node", F.col("part").alias("root"))
+    asking = look_up(large.select("node", "root", "part", "chunks", "chunk"), "root", largest).where("left_out > 0")
+    blocks = F.ceil(F.col("left_out") / ASKED)
+    up_to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    heard = F.transform(up_to(blocks), lambda b: F.struct(F.col("chunk").alias("chunk"), b.alias("block"), F.lit(False).alias("asks")))
+    asks = F.transform(up_to(F.col("chunks")), lambda c: F.struct(c.alias("chunk"), F.pmod(F.xxhash64(F.lit("block"), "node"), blocks).alias("block"), F.lit(True).alias("asks")))
+    cells = texts.join(asking.select("node", "root", "part", F.when(F.col("part") != F.col("top"), F.concat(heard, asks)).otherwise(heard).alias("cells")), "node").select("root", "part", "text", F.explode("cells").alias("cell")).select("root", "part", "text", "cell.*")
+
+    def ask(key, got):
+        asking, part = got.column("asks").to_numpy(zero_copy_only=False), got.column("part").to_numpy()
+        a, b = links_between(sets_of(got), asking, part)
+        return pa.table({"u": part[a], "v": part[b]})
+
+    joined = contract(cells.groupBy("root", "chunk", "block").applyInArrow(ask, "u long, v long")).select(F.col("node").alias("part"), F.col("root").alias("whole"))
+    return look_up(parts.select("node", "part"), "part", joined).select("node", F.coalesce("whole", "part").alias("root"))
 
 
 def _row_classes(marked: DataFrame, text: str, row: str, shingle: int = 5) -> DataFrame:
@@ -325,8 +405,8 @@ def _row_classes(marked: DataFrame, text: str, row: str, shingle: int = 5) -> Da
 
     rows = marked.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(run, "row long, digest binary, " + ", ".join(f"{n} long" for n in names))
     rows = materialize(rows, "sketches")
-    distinct = materialize(rows.groupBy("digest", *names).agg(F.min("row").alias("node")), "distinct-sketches")
-    bits = min(12, max(2, math.ceil(math.log2(max(1, distinct.count()) * SHORT_VARIANTS / BUCKET_VARIANTS / 4))))
+    distinct = materialize(rows.groupBy("digest", *names).agg(F.min("row").alias("node"), F.count("*").alias("n")), "distinct-sketches")
+    bits = min(SHORT_HALF - PART_BITS, max(2, math.ceil(math.log2(max(1, distinct.count()) * SHORT_VARIANTS / BUCKET_VARIANTS / 4))))
     masks = {k: F.array(*[F.lit(m).cast("long") for m in _masks(bits, k)]) for k in (1, 2)}
 
     def buckets(fp):
@@ -354,17 +434,9 @@ def _row_classes(marked: DataFrame, text: str, row: str, shingle: int = 5) -> Da
         return pa.table({"u": node[tied], "v": node[root[tied]]})
 
     loose = materialize(contract(sent.groupBy("bucket").applyInArrow(link, "u long, v long")), "candidates")
-    texts = _picked(marked.select(F.col(row).alias("node"), F.col(text).alias("text")), "node", loose.select("node")).join(loose, "node")
-
-    def compare(key, got):
-        sets = [shingle_set(t or b"", shingle) for t in got.column("text").cast(pa.binary()).to_pylist()]
-        a, b = similar_links(sets)
-        node = got.column("node").to_numpy()
-        return pa.table({"u": node[a], "v": node[b]})
-
-    roots = contract(texts.groupBy("root").applyInArrow(compare, "u long, v long"))
-    classes = distinct.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    return materialize(rows.select("row", "digest").join(classes, "digest").select(F.col("row").alias("node"), "root"), "copy-classes")
+    roots = _linked_rows(marked, text, row, loose, shingle)
+    classes = materialize(distinct.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "digest-classes")
+    return materialize(look_up(rows.select("row", "digest"), "digest", classes, distinct.select("digest", "n")).select(F.col("row").alias("node"), "root"), "copy-classes")
 
 
 def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -377,7 +449,7 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle
     marked, row = _marked(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")))
     named = marked.select("doc_id", F.col(row).alias("node")).join(_row_classes(marked, "text", row, shingle), "node")
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "root").select("doc_id", "component_id")
+    return look_up(named, "root", smallest).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -392,5 +464,6 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id"
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
+    """Nulls, blank and very long texts, repeated and null doc_ids and an empty table: as the module states."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
