@@ -7,11 +7,13 @@ the total budget is used up.
 
 Cost: one pass over the texts (they are reduced to a word count at once), then shuffles of (doc_id, source, size) rows.
 Running sums never need a source, or the whole queue, in one task: they are taken inside about sqrt(n) blocks and offset by the
-running sums of the blocks' totals.
+running sums of the blocks' totals.  A document's place is a hash of its doc_id and text, so rows of a repeated or null
+doc_id spread; rows that are equal in both are counted, queue as one entry and are told apart when the mix is known.
 
-Defined cases: a null or blank text has size 0 and is taken 0 times; a null source is a source of its own, last in
-order; equal doc_ids are separate documents; an empty table gives an empty result; other columns are not looked at
-by ``mix_plan``, whose result has none of them.
+Defined cases: a null or blank text has size 0 and is taken 0 times; a very long text is one document, and a budget that
+ends inside it ends before it; a null source is a source of its own, last in order; equal doc_ids are separate documents;
+ties in finish time are taken together or not at all; an empty table gives an empty result; other columns are not looked at
+by ``mix_plan``, whose result has none of them, and kept by ``mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,23 +62,27 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASS
 
 def mix_plan(docs: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES, seed: str = "mix") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target and passes (how often the mix takes it)."""
-    place = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place.alias("place")), "mix-sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    place = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text)))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place.alias("place"))
+    rows = materialize(rows.groupBy("doc_id", "source", "size", "place").agg(F.count("*").alias("copies")), "mix-sizes")
+    sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("n_docs"))
     targets = materialize(source_targets(sizes, weights, max_passes), "mix-targets")
     queue = rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # the shuffled order is that of md5; its first digits cut a source of n documents into about sqrt(n) blocks, so
+    # the shuffled order is that of md5; its first digits cut a source of n entries into about sqrt(n) blocks, so
     # that neither a block nor the list of a source's blocks is long
     blocks = F.ceil(F.sqrt("n_docs"))
     queue = queue.withColumn("block", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * blocks / F.lit(2**32)))
-    sums = queue.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
+    sums = queue.groupBy("source", "block").agg(F.sum(F.col("size") * F.col("copies")).alias("block_size"))
     running = F.sum("block_size").over(Window.partitionBy("source").orderBy("block"))
     offsets = sums.select(F.col("source").alias("s"), F.col("block").alias("b"), (running - F.col("block_size")).alias("offset"))
     inside = Window.partitionBy("source", "block").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    queue = queue.withColumn("upto", F.sum("size").over(inside))
+    queue = queue.withColumn("upto", F.sum(F.col("size") * F.col("copies")).over(inside))
     queue = queue.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    upto = F.col("upto") + F.col("offset")
-    finish = [F.when(F.col("target") > 0, (upto + F.col("source_size") * p).cast("double") / F.col("target")) for p in range(max_passes)]
+    # copies of a row follow each other
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    queue = queue.withColumn("copy", copy).withColumn("upto", F.col("upto") + F.col("offset") - F.col("size") * (F.col("copies") - F.col("copy")))
+    finish = [F.when(F.col("target") > 0, (F.col("upto") + F.col("source_size") * p).cast("double") / F.col("target")) for p in range(max_passes)]
     queue = materialize(queue.select("doc_id", "source", "size", "source_size", "target", F.array(*finish).alias("finish")), "mix-queue")
     cut = last_finish(queue)
     passes = F.size(F.filter("finish", lambda t: t <= F.lit(cut)))
@@ -109,22 +115,25 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Documents are matched to the plan by a row number given to them here, so equal doc_ids do no harm.
     """
-    names, row = docs.columns, fresh(docs, "mix_row")
+    row, taken, passes = (fresh(docs, n) for n in ("mix_row", "mix_taken", "mix_passes"))
     marked = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
     plan = mix_plan(marked.select(F.col(row).alias("doc_id"), "source", "text"), **options)
-    taken = plan.where("passes > 0").select(F.col("doc_id").alias("mix_taken"), "passes")
-    return marked.join(taken, F.col(row) == F.col("mix_taken")).withColumn("mix_taken", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*[marked[c] for c in names])
+    plan = plan.where("passes > 0").select(F.col("doc_id").alias(taken), F.col("passes").alias(passes))
+    again = F.explode(F.sequence(F.lit(1), F.col(passes)))
+    return marked.join(plan, F.col(row) == F.col(taken)).withColumn(taken, again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_mix(spark, sf_dir: str) -> DataFrame:
+    """Nulls, blank and very long texts, ties, repeated rows and an empty table: as the module states."""
     plan = mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size")).cast("long").alias("taken"))
 
 
 OP9_SQL = r"""
 WITH rows AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size,
-         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size,
+         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS place
   FROM documents),
 sizes AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
