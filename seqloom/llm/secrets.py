@@ -4,18 +4,21 @@ Base kinds are plain patterns: assignments of passwords and the like, access key
 candidate is reported only if it proves to be what it looks like:
 
 * ``jwt``: three dot-separated base64url parts whose first decodes to a JSON object that names an algorithm;
-* ``pem``: a block between key markers whose base64 decodes to a DER key or an OpenSSH private key;
+* ``pem``: a block between key markers whose base64 decodes to a DER key or an OpenSSH private key, or, where its header
+  names a cipher, to whole blocks of that cipher;
 * ``der``: a base64 or hex run that decodes to a DER key: a sequence whose nested lengths add up, and which holds a
-  version number and then the integers or the algorithm and octets of a private key;
+  version number and then the integers or the algorithm and octets of a private key, or an encryption scheme and octets;
 * ``ssh``: a base64 or hex run that decodes to an OpenSSH private key, its length-prefixed fields adding up;
-* ``wrapped``: a base64 or hex run that decodes to printable text in which the base patterns find a secret.
+* ``wrapped``: a base64 or hex run that decodes to printable text in which any of these kinds, the base ones included, is
+  found (encodings inside encodings up to ``DEPTH``).
 
 A run may go over several lines of equal length (but for the first and the last); a line break may be written as \\n.
 
 Spans are in code points, ends exclusive; within a kind they don't overlap.
 
-Defined cases: a null or empty text has no span; equal rows are scanned row by row; an empty table gives an empty result;
-``redact`` keeps all other columns.
+Defined cases: a null or empty text has no span; a very long text is scanned whole, by patterns that do not go back over
+what they have read; equal rows are scanned row by row; an empty table gives an empty result; ``redact`` keeps all other
+columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +37,11 @@ from ._common import fresh, table
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+#: The shortest header, {"alg":""}, has 15 letters.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{15,}+)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+)")
+#: A dash inside a block is one of a header (DEK-Info: AES-128-CBC), never five in a row.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]++|-(?!----))*+)-----END \1-----")
+CIPHER = re.compile(r"DEK-Info:\s*(DES|AES|CAMELLIA|SEED|IDEA|RC2)\b")
 #: A run starts where no letter of base64 is before it, or after an escaped line break or tab.
 START = r"(?:(?<![A-Za-z0-9+/_-])(?<!\\(?=[nrt]))|(?<=\\[nrt]))"
 BREAK = r"[ \t]*(?:(?:\\+r)?\\+n|\\?\r?\n)[ \t]*"
@@ -52,6 +58,10 @@ BASE = KINDS[:3]
 #: Lower-case words without one of which no assignment can match.
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 OPENSSH = b"openssh-key-v1\0"
+#: How deep encodings are looked for inside decoded text.
+DEPTH = 3
+#: The schemes of encrypted keys, PKCS#5 and PKCS#12, as they begin.
+ENCRYPTED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def _decode(run: str) -> bytes | None:
@@ -88,11 +98,15 @@ def _items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private key: sequence(version, 8+ integers) or sequence(version, octets, ...) or sequence(version, algorithm, octets)."""
+    """A private key: sequence(version, 8+ integers) or sequence(version, octets, ...) or sequence(version, algorithm, octets);
+    or an encrypted one: sequence(scheme, octets)."""
     outer = _items(data) if data[:1] == b"\x30" else None
     if not outer or len(outer) != 1:
         return False
     parts = _items(outer[0][1])
+    if parts and [t for t, _ in parts] == [0x30, 0x04]:
+        scheme = _items(parts[0][1])
+        return bool(scheme) and scheme[0][0] == 0x06 and scheme[0][1].startswith(ENCRYPTED) and len(parts[1][1]) >= 16
     if not parts or len(parts) < 3 and not (len(parts) == 2 and parts[1][0] == 0x04) or parts[0][0] != 0x02 or len(parts[0][1]) != 1:
         return False
     tags = [t for t, _ in parts]
@@ -143,7 +157,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def _proved(data: bytes | None) -> str | None:
+def _proved(data: bytes | None, depth: int) -> str | None:
     """The kind that the structure of decoded bytes confirms."""
     if not data:
         return None
@@ -151,14 +165,17 @@ def _proved(data: bytes | None) -> str | None:
         return "der"
     if is_openssh_key(data):
         return "ssh"
-    return "wrapped" if all(32 <= b < 127 or b in (9, 10, 13) for b in data) and base_spans(data.decode()) else None
+    if not all(32 <= b < 127 or b in (9, 10, 13) for b in data):
+        return None
+    text = data.decode()
+    return "wrapped" if base_spans(text) or depth < DEPTH and CANDIDATE.search(text) and confirmed_spans(text, depth + 1) else None
 
 
-def _kind(run: str) -> str | None:
-    return _proved(_decode(run)) or (_proved(bytes.fromhex(run)) if HEX_RUN.fullmatch(run) else None)
+def _kind(run: str, depth: int) -> str | None:
+    return _proved(_decode(run), depth) or (_proved(bytes.fromhex(run), depth) if HEX_RUN.fullmatch(run) else None)
 
 
-def _wrapped_lines(text: str) -> list[tuple[int, int, str]]:
+def _wrapped_lines(text: str, depth: int) -> list[tuple[int, int, str]]:
     """Spans of runs over several lines: a first line, lines of equal length, and perhaps a last shorter one."""
     out = []
     for m in LINES.finditer(text):
@@ -176,7 +193,7 @@ def _wrapped_lines(text: str) -> list[tuple[int, int, str]]:
                 j += 1
             # a line shorter than the first is the last; else the next shorter one may belong to the run, or be a word after it
             ends = [i + 1] * (size[i + 1] < size[i]) + [j + 1] * (j + 1 < len(lines) and size[j + 1] < size[j]) + [j]
-            found = next(((k, kind) for k in ends if (kind := _kind("".join(lines[i : k + 1])))), None)
+            found = next(((k, kind) for k in ends if (kind := _kind("".join(lines[i : k + 1]), depth))), None)
             if found:
                 out.append((places[i][0], places[found[0]][1], found[1]))
             # else from the next line that differs in length
@@ -184,20 +201,25 @@ def _wrapped_lines(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
+def _is_pem(body: str) -> bool:
+    lines = ESCAPED.sub("\n", body).splitlines()
+    data = _decode("".join(line for line in lines if ":" not in line).replace(" ", ""))
+    if not data:
+        return False
+    # what a header says is encrypted has no structure but its length
+    return is_der_key(data) or is_openssh_key(data) or bool(CIPHER.search(body)) and len(data) >= 64 and len(data) % 8 == 0
+
+
+def confirmed_spans(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
     """Spans that the structure of decoded candidates confirms."""
     out = []
     if "-----BEGIN" in text:
-        for m in PEM.finditer(text):
-            data = _decode("".join(line for line in ESCAPED.sub("\n", m[2]).splitlines() if ":" not in line).replace(" ", ""))
-            if data and (is_der_key(data) or is_openssh_key(data)):
-                out.append((m.start(), m.end(), "pem"))
-    if "eyJ" in text or "ewog" in text or "eyA" in text:  # a JSON object's first characters
-        out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if _is_jwt(m[1], m[2])]
-    runs = _wrapped_lines(text)
+        out += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if _is_pem(m[2])]
+    out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if _is_jwt(m[1], m[2])]
+    runs = _wrapped_lines(text, depth)
     for pattern in (BASE64, HEX_ANY):
         for m in pattern.finditer(text):
-            kind = _kind(m[0])
+            kind = _kind(m[0], depth)
             if kind and not any(a < m.end() and m.start() < b and k == kind for a, b, k in runs):
                 runs.append((m.start(), m.end(), kind))
     return out + runs
@@ -214,7 +236,8 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16}|-----BEGIN|eyJ|ewog|eyA")
+#: A run, a key block, or three parts of which the first can be a token's header.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{15}|-----BEGIN")
 
 
 def scan(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -258,6 +281,7 @@ def _listed(spans):
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
+    """Nulls, empty and very long texts, repeated rows and an empty table: as the module states."""
     found = scan(table(spark, sf_dir, "documents"))
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
