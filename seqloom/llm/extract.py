@@ -11,9 +11,10 @@ layouts with and without telling tags and class names (``labelled_page``); or th
 
 Messages are passed level by level for a batch of pages at once, in numpy.
 
-Defined cases: a null or empty page has an empty text; so has a page without content; text outside of any element counts
-as text of the page's root; equal rows are handled row by row; an empty table gives an empty result; other columns are
-ignored.  No tag needs to be closed.
+Defined cases: a null or empty page has an empty text; so has a page without content; a very long page is read whole; text
+outside of any element counts as text of the page's root; equal rows and null ids are handled row by row; an empty table
+gives an empty result; other columns are ignored.  No tag needs to be closed: an element that hides its text (a template, an
+option) and is never closed inside its block hides none.  Text of formulas, drawings and buttons belongs to its block.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z_-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose inside is no text of the page.
-SKIPPED = frozenset("script style noscript template textarea select option button svg math iframe object canvas audio video head title datalist".split())
+#: Elements whose inside is no text of the page: scripts, styles, parts of forms, and what is shown only in place of others.
+SKIPPED = frozenset("script style noscript template textarea select option iframe head title datalist".split())
 RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
 BLOCK = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer
@@ -56,6 +57,20 @@ IMPLIED = [
     (frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset(BLOCK - frozenset("h1 h2 h3 h4 h5 h6".split()))),
 ]
 
+#: Inline elements whose text counts as that of links.
+LINKS = frozenset(("a", "button"))
+END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in SKIPPED}
+#: A block's end tag, and any tag of a block.
+BLOCK_END = re.compile(rf"</(?:{'|'.join(sorted(BLOCK))})\s*>", re.I)
+BLOCK_TAG = re.compile(rf"<(/?)({'|'.join(sorted(BLOCK))})\b", re.I)
+
+
+def _outside(page: str, at: int, upto: int) -> bool:
+    """Whether the block's end at ``upto`` is that of a block opened before ``at``."""
+    tag = BLOCK_TAG.match(page, upto)[2].lower()
+    return sum(-1 if m[1] else 1 for m in BLOCK_TAG.finditer(page, at, upto) if m[2].lower() == tag) <= 0
+
+
 #: Groups of tags, and of words in class, id and role.
 TAGS = [
     "body html", "article", "main", "section", "div center", "nav menu", "header hgroup", "footer", "aside", "form fieldset legend search dialog",
@@ -135,7 +150,7 @@ def parse(page: str) -> Tree:
     open_: list[tuple[str, int]] = [("html", 0)]  # (tag, node); inline elements have their block's node
     pieces: list[str] = []
     linked = at = 0
-    links = 0  # open links
+    links = 0  # open links and buttons
 
     def flush() -> None:
         nonlocal linked
@@ -167,7 +182,7 @@ def parse(page: str) -> Tree:
         nonlocal links
         if any(t in BLOCK for t, _ in open_[to:]):
             flush()
-        links -= sum(t == "a" for t, _ in open_[to:])
+        links -= sum(t in LINKS for t, _ in open_[to:])
         del open_[to:]
 
     while True:
@@ -193,10 +208,12 @@ def parse(page: str) -> Tree:
                     break  # an inline element doesn't end across a block
             continue
         if tag in SKIPPED:
-            if tag in BLOCK or tag in ("button", "select", "svg", "iframe"):
-                pieces.append(" ")
+            pieces.append(" ")
             if not (m[0].endswith("/>") and tag not in RAW):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                end = END[tag].search(page, at)
+                # what is not raw text, and so can hold elements, doesn't reach beyond the block that it is in
+                if end and tag not in RAW and tag != "head" and (wall := BLOCK_END.search(page, at, end.start())):
+                    end = None if _outside(page, at, wall.start()) else end
                 if end:
                     at = end.end()
                 elif tag in RAW:
@@ -229,7 +246,7 @@ def parse(page: str) -> Tree:
             add(open_[-1][1], _TAG.get(tag, len(TAGS)), features, mark)
             open_.append((tag, len(tree.parent) - 1))
         elif not m[0].endswith("/>"):
-            links += tag == "a"
+            links += tag in LINKS
             open_.append((tag, open_[-1][1]))
     flush()
     return tree
@@ -456,5 +473,6 @@ def extract(pages: DataFrame, model: Model | None = None, html: str = "html", id
 
 
 def op2_extract(spark, sf_dir: str) -> DataFrame:
+    """Nulls, empty and very long pages, repeated rows and an empty table: as the module states."""
     found = extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
