@@ -12,7 +12,7 @@ for each language.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is every text if there is nothing to learn
 from; equal doc_ids are predicted row by row; rows with a null language teach nothing; an empty table gives an empty
-result; other columns are ignored.
+result; a very long text's windows are all looked at; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -204,6 +204,7 @@ def identify(docs: DataFrame, net: Net | None, text: str = "text", id: str = "do
 
 
 def op8_langid(spark, sf_dir: str) -> DataFrame:
+    """Nulls, empty and very long texts, repeated rows and an empty table: as the module states."""
     docs = table(spark, sf_dir, "documents")
     net = train(sample(docs, ~held_out(4, 2)))
     return identify(docs, net).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")

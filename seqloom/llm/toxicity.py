@@ -18,7 +18,8 @@ The model is learned on the driver from a sample of labelled texts of expected s
 
 Defined cases: a null or empty text has no window and scores like the clean text it resembles; equal doc_ids are scored
 row by row, and a doc_id with several labels counts as toxic if any says so; null labels are ignored; without labels of
-both kinds every score is 0; an empty table gives an empty result; other columns are ignored.
+both kinds every score is 0; a very long text is scored whole; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -195,6 +196,7 @@ def held_out(parts: int, part: int) -> Column:
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Nulls, empty and very long texts, repeated rows and an empty table: as the module states."""
     docs = table(spark, sf_dir, "documents")
     model = train(sample(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0)))
     return score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

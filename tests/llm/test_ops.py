@@ -153,6 +153,41 @@ def test_similar_links_are_all_pairs():
     assert 1 < len(set(want.tolist())) < len(sets) and (components.local_roots(len(sets), *simhash.similar_links(sets)) == want).all()
 
 
+def test_large_classes_in_chunks(spark, monkeypatch):
+    """Originals with many copies that are near them but not near each other, chained into one candidate class."""
+    rng, rows = random.Random(21), []
+    for g in range(3):
+        words = [f"w{g}x{i}" for i in range(204)]
+        rows.append(" ".join(words))
+        for _ in range(30):
+            again = list(words)
+            for i in rng.sample(range(5, 199), 4):  # 20 of 200 shingles: 0.82 to the original, 0.67 or so to each other
+                again[i] = f"y{rng.randrange(10**9)}"
+            rows.append(" ".join(again))
+    rows += [" ".join(f"z{k}x{i}" for i in range(50)) for k in range(9)]
+    rng.shuffle(rows)
+    marked = spark.createDataFrame(list(enumerate(rows)), "row long, text string")
+    loose = spark.range(len(rows)).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("root"))
+    sets = [simhash.shingle_set(t.encode()) for t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    want = components.local_roots(len(rows), *np.array(pairs).T)
+    for size, leaders, asked in ((10, 2, 4), (25, 8, 64), (1000, 1, 1)):
+        monkeypatch.setattr(simhash, "CLASS", size), monkeypatch.setattr(simhash, "LEADERS", leaders), monkeypatch.setattr(simhash, "ASKED", asked)
+        got = dict(tuple(r) for r in simhash._linked_rows(marked, "text", "row", loose, 5).collect())
+        assert len(got) == len(rows) and len(set(want.tolist())) == 12
+        assert len({(got[i], int(want[i])) for i in got}) == len(set(got.values())) == 12
+
+
+def test_look_up_of_hot_keys(spark, monkeypatch):
+    from seqloom.llm import _common
+
+    monkeypatch.setattr(_common, "HOT_ROWS", 5), monkeypatch.setattr(_common, "MOST_HOT", 2)
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate([7] * 40 + [8] * 30 + [9] * 20 + [1, 2, 3, None])], "id long, k long")
+    found = spark.createDataFrame([(7, "a"), (9, "c"), (1, "d"), (3, None), (50, "z")], "k long, name string")
+    got = sorted((r["id"], r["name"]) for r in _common.look_up(rows, "k", found).collect())
+    assert got == [(r["id"], {7: "a", 9: "c", 1: "d"}.get(r["k"])) for r in rows.orderBy("id").collect()]
+
+
 def test_contraction(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(45)] + [(7, 7)]
@@ -210,6 +245,21 @@ def test_extraction_of_a_page(model):
     assert extract.main_texts([page, None, "", "<p"], model) == ["A & B\n\nFirst bold text, and more. Next.\n\nSecond <one> with 1 < 2.", "", "", ""]
 
 
+def test_extraction_drops_nothing_of_the_article(model):
+    """Formulas, drawings and buttons are text; what is never closed hides nothing beyond its block."""
+    said = lambda inside: extract.main_texts([f"<article><h1>On energy.</h1><p>Energy is {inside} as we have come to know it.</p><p>Second paragraph, with a button.</p><p>Third paragraph of it.</p></article>"], model)[0].split("\n\n")
+    rest = ["Second paragraph, with a button.", "Third paragraph of it."]
+    assert said("<math>E=mc</math>")[1:] == ["Energy is E=mc as we have come to know it.", *rest]
+    assert said("<svg><text>a drawing</text></svg> and <button>pressed</button>")[1:] == ["Energy is a drawing and pressed as we have come to know it.", *rest]
+    for tag in ("button", "template", "select", "object", "math"):
+        assert said(f"<{tag}>")[1:] == ["Energy is as we have come to know it.", *rest]
+        later = extract.main_texts([f"<article><p>First paragraph <{tag}> of the article.</p><p>Second paragraph of the article.</p></article><footer><{tag}>x</{tag}></footer>"], model)[0]
+        assert later == "First paragraph of the article.\n\nSecond paragraph of the article."
+    assert said("<template><p>hidden</p></template>")[1:] == ["Energy is as we have come to know it.", *rest]
+    long = "<article>" + "".join(f"<p>Paragraph number {i} of a very long article, with words.</p>" for i in range(20_000)) + "</article>"
+    assert len(extract.main_texts([long], model)[0].split("\n\n")) == 20_000
+
+
 def test_extraction_odd_tables(spark, sf_dir, model):
     pages = spark.createDataFrame([(1, None, None, "u"), (1, "u", "", None), (None, "v", "<article><p>Text of it, long enough to be one.</p></article>", "t")], "page_id long, url string, html string, text string")
     got = extract.extract(pages, model).collect()
@@ -353,6 +403,23 @@ def test_secrets_in_every_form():
     pem = f"-----BEGIN PRIVATE KEY-----\\n{body}\\n-----END PRIVATE KEY-----"
     assert ("pem", pem) in kinds('{"private_key": "' + pem + '\\n"}')
     assert kinds("internationalization_of\nstandardisations\nand 0123456789abcdef01234567") == []
+    # a whole PEM, and what is encoded twice
+    twice = base64.b64encode(pem.replace("\\n", "\n").encode()).decode()
+    assert kinds(f"key={twice}") == [("wrapped", twice)] and kinds(base64.b64encode(short.encode()).decode())[0][0] == "wrapped"
+    assert kinds(base64.b64encode(b"only some harmless words of a text").decode()) == []
+    # encrypted keys: PKCS#8 by its scheme, PEM by its header and whole cipher blocks
+    scheme = der(0x30, der(6, secrets.ENCRYPTED[0] + b"\x0d") + der(0x30, der(4, b"salt1234") + der(2, b"\x08\x00")))
+    locked = base64.b64encode(der(0x30, scheme + der(4, bytes(range(64))))).decode()
+    assert kinds(f"k={locked}") == [("der", locked)]
+    other = base64.b64encode(der(0x30, der(0x30, der(6, b"\x2a\x03\x04")) + der(4, bytes(range(64))))).decode()
+    assert kinds(f"k={other}") == []
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011223344556677"
+    for body, found in ((bytes(range(96)), True), (bytes(range(97)), False)):
+        block = f"-----BEGIN RSA PRIVATE KEY-----\n{head}\n\n{base64.b64encode(body).decode()}\n-----END RSA PRIVATE KEY-----"
+        assert (("pem", block) in kinds(block)) == found
+    # a header that does not begin with one of the usual letters
+    odd = base64.urlsafe_b64encode(b'{\n"alg":"none"}').decode().rstrip("=") + ".e30."
+    assert kinds(f"x {odd}") == [("jwt", odd)]
 
 
 def test_secrets_odd_tables(odd, empty):
@@ -472,6 +539,20 @@ def test_mixing_odd_tables(odd, empty, spark):
     assert got == {"a": 300.0, None: 30.0, "b": 3000.0, "c": pytest.approx(6110 - 3330)}
 
 
+def test_mix_of_ties_and_clashing_names(spark):
+    """Copies of a row queue one after the other, whatever their doc_ids; columns named like our own stay."""
+    rows = [(None, "a", "one two three", 1, 2)] * 40 + [(7, "a", "four five", 3, 4)] * 20 + [(i, "b", "six", 5, 6) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, passes long, mix_taken long")
+    plan = mixing.mix_plan(docs).collect()
+    assert len(plan) == 150 and sum(r["size"] for r in plan) == 250
+    by = {}
+    for r in plan:
+        by[r["source"]] = by.get(r["source"], 0) + r["size"] * r["passes"]
+    assert abs(by["a"] - 250 * 5 / 7) <= 3 and abs(by["b"] - 250 * 2 / 7) <= 1
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and {(r["passes"], r["mix_taken"]) for r in mixed.collect()} <= {(1, 2), (3, 4), (5, 6)}
+
+
 def test_mix_is_near_its_targets(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     by = mixing.mix_plan(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("passes")).alias("taken"), F.max("target").alias("target"), F.max("size").alias("largest"), F.max("passes").alias("most")).collect()
