@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.ranges import blocks_for, percentiles
 
-def pairs(df: DataFrame, id: str, blocks: int = 8, ordered: bool = False) -> DataFrame:
+IN_BLOCK = 2_000
+
+
+def pairs(df: DataFrame, id: str, blocks: int | None = None, ordered: bool = False) -> DataFrame:
     """All pairs of different rows, as structs a and b, with a's id below b's (or both ways round, if ``ordered``).
 
     The rows are dealt into blocks by hash, and each pair of blocks is a key of an equi-join, so neither side is sent
     whole to any task: a row is copied once for each block, and the pairs are spread over blocks * (blocks + 1) / 2 keys.
+    Unless given, blocks are as many as keep the rows of a block about ``IN_BLOCK``.
     """
+    blocks = blocks or blocks_for(df.count(), IN_BLOCK)
     row = F.struct(*df.columns)
     mine = F.pmod(F.xxhash64(id), F.lit(blocks))
     dealt = df.select(row.alias("row"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
@@ -46,7 +52,8 @@ def similarity(edges: DataFrame, value: str, scaling_factor: float | None = None
 
     ``scaling_factor`` is accepted and not used.
     """
-    m = edges.agg(F.median(F.when(F.col(value) > 0, F.col(value)))).first()[0]
+    found = percentiles(edges.where(F.col(value) > 0).select(F.lit(0).alias("all"), value), "all", value, [0.5]).first()
+    m = found["p0"] if found else None
     return edges.withColumn("similarity", F.exp(-F.col(value) * F.col(value) / (2 * F.lit(m) * F.lit(m))))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.ranges import fold_of, numbered, ranked_by_hash
+
 
 def hash_order(*columns: str, seed: int = 0) -> Column:
     """A reproducible random order: md5 of the seed and the columns as text."""
@@ -22,32 +24,47 @@ def sample_share(df: DataFrame, share: float, *key: str, seed: int = 0) -> DataF
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str, test: float, seed: int = 0) -> DataFrame:
-    """``df`` with ``is_test``: of each stratum exactly floor(test * n) rows.
-
-    Rows are ranked in blocks of the hash, so that a large stratum is not ranked in one task.
-    """
-    order = hash_order(key, seed=seed)
-    blocked = df.withColumn("block", F.substring(order, 1, 2))
-    counts = blocked.groupBy(stratum, "block").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(stratum).orderBy("block")) - F.col("n")
-    offsets = counts.select(F.col(stratum).alias("s"), F.col("block").alias("b"), before.alias("before"), F.sum("n").over(Window.partitionBy(stratum)).alias("total"))
-    ranked = blocked.withColumn("row", F.row_number().over(Window.partitionBy(stratum, "block").orderBy(order, key)))
-    joined = ranked.join(offsets, F.col(stratum).eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    return joined.withColumn("is_test", F.col("row") + F.col("before") <= F.floor(F.col("total") * F.lit(test))).select(*df.columns, "is_test")
+    """``df`` with ``is_test``: of each stratum exactly floor(test * n) rows."""
+    ranked = ranked_by_hash(df, stratum, hash_order(key, seed=seed), key)
+    return ranked.withColumn("is_test", F.col("hash_rank") <= F.floor(F.col("stratum_rows") * F.lit(test))).select(*df.columns, "is_test")
 
 
 def balanced(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     """As many rows of each label as the rarest has, without replacement."""
     least = df.groupBy(label).count().agg(F.min("count")).first()[0] or 0
-    return df.withColumn("row", F.row_number().over(Window.partitionBy(label).orderBy(hash_order(key, seed=seed), key))).where(F.col("row") <= least).drop("row")
+    return ranked_by_hash(df, label, hash_order(key, seed=seed), key).where(F.col("hash_rank") <= least).select(*df.columns)
 
 
 def label_encode(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with <column>_code: 1..k by sorted value; only the distinct values are ordered."""
-    codes = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(f"{column}_code", F.row_number().over(Window.orderBy(column)))
+    """``df`` with <column>_code: 1..k by sorted value; only the distinct values are numbered, in ranges."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    codes = numbered(values, column, f"{column}_code").withColumn(f"{column}_code", F.col(f"{column}_code").cast("int"))
     return df.join(codes, column, "left")
 
 
+def folds(df: DataFrame, key: str, k: int) -> DataFrame:
+    """``df`` with ``fold``, 1..k: contiguous folds by a key of distinct values, the first ones a row longer."""
+    return numbered(df, key, "fold_position").withColumn("fold", fold_of(F.col("fold_position"), df.count(), k)).drop("fold_position")
+
+
+def by_position(df: DataFrame, start: int | None = None, stop: int | None = None) -> DataFrame:
+    """The columns at these positions; (0, -1) drops the last."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns[start:stop]])
+
+
+def reordered(df: DataFrame, nominal: list[str], numeric: list[str]) -> DataFrame:
+    """The other columns first, then the nominal and the numeric ones kept."""
+    rest = [c for c in df.columns if c not in nominal and c not in numeric]
+    return df.select(*rest, *nominal, *numeric)
+
+
+def side_by_side(a: DataFrame, order_a: str, b: DataFrame, order_b: str) -> DataFrame:
+    """Rows of two tables next to each other by their places in the order of a column of distinct values of each; a column
+    ``place`` from 1; the shorter table ends in nulls."""
+    left, right = numbered(a, order_a, "place"), numbered(b, order_b, "place")
+    return left.join(right, "place", "full")
+
+
 def boolean_like(df: DataFrame) -> list[str]:
     """Numeric columns whose values are all 0, 1 or null."""
     numeric = [c for c, t in df.dtypes if t in ("int", "bigint", "smallint", "tinyint", "double", "float")]

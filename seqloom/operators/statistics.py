@@ -6,13 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators.ranges import running
+from seqloom.operators.survival import chi2_tail
+
 
 def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with <column>_rank, the average rank of equal values, found from counts by distinct value."""
+    """``df`` with <column>_rank, the average rank of equal values, found from counts by distinct value in ranges."""
     for c in columns:
         counts = df.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).where("value IS NOT NULL")
-        upto = F.sum("n").over(Window.orderBy("value"))
-        ranks = counts.select("value", (upto - (F.col("n") - 1) / 2).alias(f"{c}_rank"))
+        ranks = running(counts, "value", "n", "upto").select("value", (F.col("upto") - (F.col("n") - 1) / 2).alias(f"{c}_rank"))
         df = df.join(ranks, df[c] == ranks["value"], "left").drop("value")
     return df
 
@@ -73,6 +75,28 @@ def drop_correlated(df: DataFrame, first: list[str], second: list[str], method:
     return kept
 
 
+def drop_associated(df: DataFrame, columns: list[str], threshold: float = 0.7) -> list[str]:
+    """The nominal columns left when, of each pair whose Cramér's V reaches the threshold, the first is removed (pairs in
+    order; removed columns are compared no more)."""
+    kept = list(columns)
+    for i, a in enumerate(columns):
+        for b in columns[i + 1 :]:
+            if a in kept and b in kept and (cramers_v(df, a, b).first()["cramers_v"] or 0.0) >= threshold:
+                kept.remove(a)
+    return kept
+
+
+def drop_explained(df: DataFrame, nominal: list[str], numeric: list[str], level: float = 0.05) -> list[str]:
+    """The nominal columns whose groups differ in no numeric column by the Kruskal-Wallis test; one of fewer than two
+    groups is not tested and stays."""
+    kept = []
+    for c in nominal:
+        tests = [kruskal(df, x, c).first() for x in numeric]
+        if not any(t["groups"] and t["groups"] > 1 and (chi2_tail(t["h_corrected"], t["groups"] - 1) or 1.0) < level for t in tests if t and t["h_corrected"] is not None):
+            kept.append(c)
+    return kept
+
+
 def principal_features(df: DataFrame, columns: list[str], share: float = 0.8, seed: int = 42) -> list[str]:
     """Principal feature analysis: the components that explain ``share`` of the variance of the standardised columns, their
     loadings clustered into as many groups, and the column nearest to each group's centre.

@@ -31,12 +31,31 @@ def median_survival(curve: DataFrame) -> DataFrame:
     return curve.groupBy("grp").agg(F.min(F.when(F.col("survival") <= 0.5 + 1e-12, F.col("t"))).alias("median"))
 
 
+def survival_summary(df: DataFrame, group: str, duration: str, event: str, z: float = 1.959963984540054) -> DataFrame:
+    """(grp, n, median, median_low, median_high): the median and its confidence interval, the times at which the bounds of
+    the survival curve (by Greenwood's variance of log(-log S)) first reach one half; NULL where they never do."""
+    curve = kaplan_meier(df, group, duration, event)
+    w = Window.partitionBy("grp").orderBy("t")
+    left = F.col("at_risk") - F.col("d")
+    curve = curve.withColumn("g", F.sum(F.try_divide(F.col("d").cast("double"), F.col("at_risk") * left)).over(w))
+    inside = (F.col("survival") > 0) & (F.col("survival") < 1)
+    log_s = F.when(inside, F.log("survival"))
+    wide = F.when(inside, F.lit(z) * F.sqrt("g") / -log_s)
+    # S ** exp(-+ z * se); where S is 0 or 1 both bounds are S
+    upper = F.coalesce(F.pow("survival", F.exp(-wide)), F.col("survival"))
+    lower = F.coalesce(F.pow("survival", F.exp(wide)), F.col("survival"))
+    first = lambda s: F.min(F.when(s <= 0.5 + 1e-12, F.col("t")))
+    found = curve.groupBy("grp").agg(F.max("at_risk").alias("n"), first(F.col("survival")).alias("median"), first(lower).alias("median_low"), first(upper).alias("median_high"))
+    return found
+
+
 def logrank(df: DataFrame, group: str, duration: str, event: str) -> DataFrame:
     """(group1, group2, logrank, wilcoxon): statistics of each pair of groups, unweighted and weighted by those at risk."""
     by = df.groupBy(F.col(group).alias("grp"), F.col(duration).alias("t")).agg(F.sum(F.col(event).cast("long")).alias("d"), F.count("*").alias("n"))
     groups = df.select(F.col(group).alias("grp")).distinct()
     two = groups.select(F.col("grp").alias("g1")).join(groups.select(F.col("grp").alias("g2")), F.col("g1") < F.col("g2"))
-    rows = two.join(by, (F.col("grp") == F.col("g1")) | (F.col("grp") == F.col("g2")))
+    # each pair under either of its groups: an equi-join of two small tables
+    rows = two.select(F.explode(F.array("g1", "g2")).alias("grp"), "g1", "g2").join(by, "grp")
     first = F.col("grp") == F.col("g1")
     at = rows.groupBy("g1", "g2", "t").agg(F.sum("d").alias("d"), F.sum("n").alias("n"), F.sum(F.when(first, F.col("d")).otherwise(0)).alias("d1"), F.sum(F.when(first, F.col("n")).otherwise(0)).alias("n1"))
     w = Window.partitionBy("g1", "g2").orderBy(F.desc("t"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import scalars
+from seqloom.operators import ranges as RG
 from seqloom.operators import relational as RL
 
 from .registry import query, rounded as R, table as T
@@ -54,7 +55,7 @@ def label_encode(spark, d):
 
 @query("dense_index", "SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS INT) AS idx FROM (SELECT DISTINCT user_id FROM events)")
 def dense_index(spark, d):
-    return T(spark, d, "events").select("user_id").distinct().withColumn("idx", F.row_number().over(Window.orderBy("user_id")) - 1)
+    return RG.numbered(T(spark, d, "events").select("user_id").distinct(), "user_id", "place").select("user_id", (F.col("place") - 1).cast("int").alias("idx"))
 
 
 @query("one_hot", "SELECT event_id, (event_type = 'click')::INT::DOUBLE AS click, (event_type = 'error')::INT::DOUBLE AS error, (event_type = 'purchase')::INT::DOUBLE AS purchase FROM events")
@@ -177,8 +178,10 @@ def mode_smallest(spark, d):
 
 @query("percentiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(quantile_cont(l_extendedprice, 0.5), 6) AS q2, round(quantile_cont(l_extendedprice, 0.75), 6) AS q3, round(quantile_cont(l_quantity, 0.9), 6) AS p90 FROM lineitem GROUP BY 1")
 def percentiles(spark, d):
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return T(spark, d, "lineitem").groupBy("l_returnflag").agg(q.alias("q"), R(F.percentile("l_quantity", 0.9)).alias("p90")).select("l_returnflag", *[R(F.col("q")[i]).alias(f"q{i + 1}") for i in range(3)], "p90")
+    lines = T(spark, d, "lineitem")
+    price = RG.percentiles(lines, "l_returnflag", "l_extendedprice", [0.25, 0.5, 0.75])
+    quantity = RG.percentiles(lines, "l_returnflag", "l_quantity", [0.9]).select(F.col("l_returnflag").alias("flag"), F.col("p0").alias("p90"))
+    return price.join(quantity, F.col("l_returnflag").eqNullSafe(F.col("flag"))).select("l_returnflag", *[R(F.col(f"p{i}")).alias(f"q{i + 1}") for i in range(3)], R(F.col("p90")).alias("p90"))
 
 
 @query("weighted_average", "SELECT l_shipdate::DATE AS day, round(sum(l_quantity * l_discount) / nullif(sum(l_quantity), 0), 6) AS mean FROM lineitem GROUP BY 1")
@@ -277,7 +280,7 @@ def balanced_classes(spark, d):
 
 @query("folds", "SELECT c_custkey, CAST(ntile(5) OVER (ORDER BY c_custkey) AS INT) AS fold FROM customer")
 def folds(spark, d):
-    return T(spark, d, "customer").select("c_custkey", F.ntile(5).over(Window.orderBy("c_custkey")).alias("fold"))
+    return RL.folds(T(spark, d, "customer").select("c_custkey"), "c_custkey", 5)
 
 
 @query("negative_samples", "WITH c AS (SELECT DISTINCT o_custkey, pmod AS part FROM (SELECT o_custkey, ('0x' || substr(md5('n|' || o_orderkey::VARCHAR), 1, 8))::BIGINT % (SELECT count(*) FROM part) AS pmod FROM orders)) SELECT o_custkey, part FROM c WHERE NOT EXISTS (SELECT 1 FROM orders o JOIN lineitem ON l_orderkey = o_orderkey WHERE o.o_custkey = c.o_custkey AND l_partkey = part)")
