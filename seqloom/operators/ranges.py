@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.sources.scratch import written
+
 RANGES = 64
 
 
@@ -38,9 +40,11 @@ def range_of(column: Column, at: list) -> Column:
 def running(df: DataFrame, order: str, value: str, out: str, by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
     """``df`` with ``out``: the sum of ``value`` over the rows of its group whose ``order`` is not above its own.
 
-    Rows of equal order are in one range; rows whose order is null get null.
+    Rows of equal order are in one range; rows whose order is null get null.  The rows are looked at three times, so they
+    are written once.
     """
     by = by or []
+    df = written(df, "ranges")
     placed = df.withColumn("range_no", F.when(F.col(order).isNotNull(), range_of(F.col(order), cuts(df, order, ranges))))
     totals = placed.where("range_no IS NOT NULL").groupBy(*by, "range_no").agg(F.sum(value).alias("range_sum"))
     before = F.sum("range_sum").over(Window.partitionBy(*by).orderBy("range_no")) - F.col("range_sum")
@@ -66,7 +70,7 @@ def percentiles(df: DataFrame, by: str, value: str, shares: list[float]) -> Data
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("grp"), F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
     upto = running(counts, "x", "n", "upto", ["grp"])
-    totals = counts.groupBy("grp").agg(F.sum("n").alias("total")).withColumnRenamed("grp", "g")
+    totals = upto.groupBy("grp").agg(F.max("upto").alias("total")).withColumnRenamed("grp", "g")
     placed = upto.join(totals, F.col("grp").eqNullSafe(F.col("g")))
     out = []
     for i, p in enumerate(shares):

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.ranges import percentiles
+
 ABSTAIN = -1
 
 
@@ -47,7 +49,8 @@ def quartile_lf(df: DataFrame, column: str) -> LabelingFunction:
 
     The quartiles are computed once, here.
     """
-    low, high = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))).first()[0] or (None, None)
+    found = percentiles(df.select(F.lit(0).alias("all"), column), "all", column, [0.25, 0.75]).first()
+    low, high = (found["p0"], found["p1"]) if found else (None, None)
     return LabelingFunction(f"quartile_{column}", lambda: F.when(F.col(column) <= F.lit(low), 0).when(F.col(column) >= F.lit(high), 1).otherwise(ABSTAIN))
 
 
@@ -161,7 +164,8 @@ def augment(df: DataFrame, id: str, transformations: list[Callable[[Column], Col
 
     Copies that a transformation leaves as they were are dropped.  Column ``copy`` is 0 for originals.
     """
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id), F.col("copy")), F.lit(1_000_000))
+    key = F.concat_ws("|", F.lit(str(seed)), F.col(id).cast("string"), F.col("copy").cast("string"))
+    draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % 1_000_000
     made = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
     new = F.col(text)
     k = len(transformations)
@@ -171,6 +175,66 @@ def augment(df: DataFrame, id: str, transformations: list[Callable[[Column], Col
     return df.withColumn("copy", F.lit(0)).unionByName(made) if keep else made
 
 
+def preprocessed(df: DataFrame, *steps: Callable[[DataFrame], dict[str, Column]]) -> DataFrame:
+    """``df`` with the columns that preprocessors make, each seeing those of the ones before; made once for all functions."""
+    for step in steps:
+        df = df.withColumns(step(df))
+    return df
+
+
+def lexicon_score(text: Column, weights: dict[str, float]) -> Column:
+    """Mean weight of a text's words that the lexicon knows, 0 without any; words are runs of letters, in lower case."""
+    known = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\P{L}+")
+    found = F.filter(F.transform(words, lambda w: F.try_element_at(known, w)), lambda x: x.isNotNull())
+    return F.coalesce(F.try_divide(F.aggregate(found, F.lit(0.0), lambda s, x: s + x), F.size(found)), F.lit(0.0))
+
+
+def threshold_lf(name: str, score: str, low: float | None, high: float | None, below: int = 0, above: int = 1) -> LabelingFunction:
+    """Votes ``above`` where a score exceeds ``high``, ``below`` where it is under ``low``; else abstains."""
+    def vote() -> Column:
+        out = F.lit(ABSTAIN)
+        if low is not None:
+            out = F.when(F.col(score) < low, below).otherwise(out)
+        return F.when(F.col(score) > high, above).otherwise(out) if high is not None else out
+
+    return LabelingFunction(name, vote)
+
+
+def ratio_lf(kind: str, a: str, b: str, apart: float, together: float, non_zero: bool = False) -> LabelingFunction:
+    """Of two sets, what they share as a part of the first (``recall``), the second (``precision``) or the smaller one
+    (``common``): -1 below ``apart``, 1 from ``together``, 0 between; 0 too where the part isn't defined or, if ``non_zero``,
+    where nothing is shared.
+    """
+    def vote() -> Column:
+        both = F.size(F.array_intersect(a, b))
+        of = {"recall": F.size(a), "precision": F.size(b), "common": F.least(F.size(a), F.size(b))}[kind]
+        part = F.try_divide(both, of)
+        out = F.when(part >= together, 1).when(part < apart, -1).otherwise(0)
+        return F.when(both == 0, 0).otherwise(out) if non_zero else F.when(part.isNull(), 0).otherwise(out)
+
+    return LabelingFunction(f"{kind}{'_non_zero' if non_zero else ''}", vote)
+
+
+def majority_or_drawn(key: Column, into: str = "votes", seed: int = 0) -> Column:
+    """Majority of two classes, ties decided by a hash of the key; abstains where nobody voted."""
+    zero, one = F.size(F.filter(into, lambda x: x == 0)), F.size(F.filter(into, lambda x: x == 1))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("long") % 2
+    return F.when(zero > one, 0).when(one > zero, 1).when(zero + one == 0, ABSTAIN).otherwise(drawn.cast("int"))
+
+
+def slice_matrix(df: DataFrame, slices: dict[str, Column]) -> DataFrame:
+    """``df`` with a boolean column for each slice; null conditions count as false."""
+    return df.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in slices.items()})
+
+
+def soft_label_rows(df: DataFrame, probability: str, label: str = "label", weight: str = "weight") -> DataFrame:
+    """Two rows for each one, labelled 1 and 0 and weighted by the probability of that label; rows of weight 0 go."""
+    both = F.array(F.struct(F.lit(1).alias("y"), F.col(probability).alias("w")), F.struct(F.lit(0).alias("y"), (1 - F.col(probability)).alias("w")))
+    out = df.withColumn("soft", F.explode(both)).withColumns({label: F.col("soft.y"), weight: F.col("soft.w")}).drop("soft")
+    return out.where(F.col(weight) > 0)
+
+
 def slice_metrics(df: DataFrame, slices: dict[str, Column], truth: str, predicted: str) -> DataFrame:
     """(slice, n, accuracy, f1) for each slicing condition, all in one aggregation."""
     rows = df.select(truth, predicted, F.explode(F.array(*[F.when(c, F.lit(n)) for n, c in slices.items()])).alias("slice")).where("slice IS NOT NULL")

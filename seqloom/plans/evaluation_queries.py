@@ -161,7 +161,9 @@ def logrank_pairs(spark, d):
     return s.select("group1", "group2", R(F.col("logrank")).alias("logrank"), R(F.col("wilcoxon")).alias("wilcoxon"))
 
 
-@query("logrank_p_values")
+@query("logrank_p_values", LOGRANK.replace("SELECT group1, group2, round(sum(oe) ** 2 / sum(v), 6) + 0 AS logrank, round(sum(oe * n) ** 2 / sum(v * n * n), 6) + 0 AS wilcoxon FROM v GROUP BY 1, 2", """, q AS (SELECT group1, group2, sum(oe) ** 2 / sum(v) AS x FROM v GROUP BY 1, 2), z AS (SELECT *, sqrt(x / 2) AS z FROM q),
+e AS (SELECT *, CASE WHEN z > 1 THEN exp(-z * z) / sqrt(pi()) / list_reduce(range(600, 0, -1), lambda a, k: z + k / 2.0::DOUBLE / a, z) ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(60), lambda k: (-1) ** k * z ** (2 * k + 1) / (gamma(k + 1) * (2 * k + 1)))) END AS p FROM z)
+SELECT group1, group2, format('{:.3e}', p) AS p_value, round(max(p) OVER (), 6) AS p_max, round(min(x) OVER (), 6) AS statistic_min FROM e"""))
 def logrank_p_values(spark, d):
     """The least statistic and the largest p-value over all pairs of groups, and each p-value as text."""
     s = SV.logrank(lives(spark, d), "grp", "t", "e")

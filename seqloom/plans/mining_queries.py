@@ -202,14 +202,19 @@ def text_lookup(spark, d):
     return table(spark, d, "documents").join(F.broadcast(keep), F.col("source") == F.col("line"), "left_semi").select("doc_id")
 
 
-@query("generated_circle")
+UNIFORM = "('0x' || substr(md5('{0}|' || {1}), 1, 10))::BIGINT / 1099511627776.0::DOUBLE"
+
+
+@query("generated_circle", f"WITH p AS (SELECT id, {UNIFORM.format(0, 'id')} * 2 - 1 AS x, {UNIFORM.format(7, 'id')} * 2 - 1 AS y FROM range(1000) r(id)) SELECT id, round(x, 9) AS x, round(y, 9) AS y, (x * x + y * y < 0.7 * 0.7)::INT AS label FROM p")
 def generated_circle(spark, d):
-    return generators.circle(spark, 1000, 0.7)
+    g = generators.circle(spark, 1000, 0.7)
+    return g.select("id", R(F.col("x"), 9).alias("x"), R(F.col("y"), 9).alias("y"), "label")
 
 
-@query("generated_sigmoids")
+@query("generated_sigmoids", f"""WITH p AS (SELECT id, 90 * j AS t, 0.003::DOUBLE + 0.01::DOUBLE * {UNIFORM.format(0, 'id')} AS k, 300 + 900 * {UNIFORM.format(5, 'id')} AS a, sqrt(-2 * ln(1 - {UNIFORM.format(11, "id || '|' || 90 * j")})) * cos(2 * pi() * {UNIFORM.format(12, "id || '|' || 90 * j")}) AS e FROM range(50) r(id), range(8) s(j))
+SELECT id, CAST(t AS INT) AS t, round(greatest(least(48 / (1 + exp(k * (t - a))) + e, 48), 0), 6) AS v FROM p""")
 def generated_sigmoids(spark, d):
-    return generators.noisy_sigmoids(spark, 50, 8)
+    return generators.noisy_sigmoids(spark, 50, 8).select("id", "t", R(F.col("v")).alias("v"))
 
 
 # --- streams ----------------------------------------------------------------------------------------------------------

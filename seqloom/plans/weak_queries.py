@@ -144,7 +144,9 @@ def probabilities_to_labels(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.argmax_label(F.array("l_discount", "l_tax")).alias("label"))
 
 
-@query("augmented")
+@query("augmented", r"""WITH c AS (SELECT doc_id, text, copy, (('0x' || substr(md5(concat_ws('|', '3', doc_id::VARCHAR, copy::VARCHAR)), 1, 8))::BIGINT % 1000000) % 3 AS j FROM documents, range(1, 3) r(copy)),
+n AS (SELECT doc_id, text, copy, CASE j WHEN 0 THEN regexp_replace(text, '\bthe\b', 'this', 'g') WHEN 1 THEN replace(text, ',', '') ELSE regexp_replace(text, '^(\S+)', '\1 \1') END AS t FROM c)
+SELECT doc_id, 0 AS copy, CAST(length(text) AS INT) AS n_chars FROM documents UNION ALL SELECT doc_id, CAST(copy AS INT), CAST(length(t) AS INT) FROM n WHERE t <> text""")
 def augmented(spark, d):
     """Documents and, for each, two drawn transformations of its text."""
     swap = lambda t: F.regexp_replace(t, r"\bthe\b", "this")

@@ -22,8 +22,8 @@ def read_timed_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_many_csv(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """All files of a glob, lower-case headers, with the ordinal of the file as ``part`` (from 1, by name)."""
-    df = spark.read.option("header", True).schema(schema).csv(glob).withColumn("file", F.col("_metadata.file_name"))
+    """All files of a glob, lower-case headers, with the ordinal of the file as ``part`` (from 1, by path)."""
+    df = spark.read.option("header", True).schema(schema).csv(glob).withColumn("file", F.col("_metadata.file_path"))
     order = df.select("file").distinct().withColumn("part", F.row_number().over(Window.orderBy("file")))
     return df.join(F.broadcast(order), "file").drop("file").toDF(*[c.lower() for c in df.columns if c != "file"], "part")
 

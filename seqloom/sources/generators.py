@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def uniform(*key, seed: int = 0) -> Column:
-    """A number in [0, 1) from a hash of the key."""
-    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(2**40)) / F.lit(float(2**40))
+    """A number in [0, 1): the first ten hexadecimal digits of md5 of the seed and the key as text."""
+    parts = [F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key]
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 10)
+    return F.conv(digits, 16, 10).cast("long") / F.lit(float(2**40))
 
 
 def normal(*key, seed: int = 0) -> Column:

@@ -195,3 +195,67 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+# --- ranges, fronts, nominal features ---------------------------------------------------------------------------------
+
+
+def test_running_sums_and_percentiles(spark):
+    from seqloom.operators import ranges
+
+    rng = np.random.default_rng(2)
+    rows = [(int(g), float(x)) for g, x in zip(rng.integers(0, 3, 900), rng.integers(0, 200, 900))] + [(1, None), (None, 3.5), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    counts = df.where("x IS NOT NULL").groupBy("x").count()
+    got = {r["x"]: r["upto"] for r in ranges.running(counts, "x", "count", "upto", ranges=7).collect()}
+    values = [x for _, x in rows if x is not None]
+    assert got == {x: sum(v <= x for v in values) for x in set(values)}
+    p = {r["g"]: (r["p0"], r["p1"], r["p2"]) for r in ranges.percentiles(df, "g", "x", [0.0, 0.3, 0.95]).collect()}
+    for g in (0, 1, 2, None):
+        assert p[g] == pytest.approx(np.percentile([x for h, x in rows if h == g and x is not None], [0, 30, 95]))
+    assert ranges.numbered(spark.createDataFrame([], "x int"), "x", "k").count() == 0
+
+
+def test_fronts(spark, monkeypatch):
+    from seqloom.operators import evaluation
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (300, 3)).astype(float)
+    rows = [(i, *map(float, r)) for i, r in enumerate(x)] + [(900, None, 0.0, 0.0), (901, float("nan"), 50.0, 50.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double").repartition(5)
+    want = {i for i in range(300) if not ((x <= x[i]).all(axis=1) & (x < x[i]).any(axis=1)).any()} | {900, 901}
+    for most in (20_000, 3):
+        monkeypatch.setattr(evaluation, "FRONT_ROWS", most)
+        assert {r["id"] for r in evaluation.pareto(df, "id", ["a", "b", "c"]).collect() if r["on_front"]} == want
+
+
+def test_nominal_features(spark):
+    from seqloom.operators import statistics
+
+    rows = [(f"a{i % 3}", f"b{i % 3}", f"c{(i // 3) % 4}", float(i % 3 * 10 + i % 7), float(i // 3)) for i in range(240)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, x double, y double")
+    assert statistics.drop_associated(df, ["a", "b", "c"]) == ["b", "c"]
+    assert statistics.drop_explained(df, ["a", "c"], ["x"]) == ["c"]
+
+
+def test_internal_quality_without_parts(spark):
+    from seqloom.operators import evaluation
+
+    points = [(0, 0.0, "p"), (1, 1.0, "p"), (2, 10.0, "q"), (3, 11.0, "q")]
+    edges = spark.createDataFrame([(i, j, abs(x - y)) for i, x, _ in points for j, y, _ in points if i != j], "id1 int, id2 int, d double")
+    labels = spark.createDataFrame([(i, k) for i, _, k in points], "id int, label string")
+    r = evaluation.internal_quality(edges, labels, hopkins=[0.5, 0.7]).first()
+    assert r["silhouette_avg"] == pytest.approx((2 * (1 - 1 / 10.5) + 2 * (1 - 1 / 9.5)) / 4) and r["entropy"] == pytest.approx(1.0)
+    assert (r["calinski_harabasz"], r["matching"]) == (-1.0, -1.0) and r["hopkins_avg"] == pytest.approx(0.6) and r["hopkins_std"] == pytest.approx(0.1)
+
+
+def test_soft_labels_and_ratios(spark):
+    from seqloom.operators import weak
+
+    soft = weak.soft_label_rows(spark.createDataFrame([(1, 0.25), (2, 1.0)], "id int, p double"), "p").collect()
+    assert sorted((r["id"], r["label"], r["weight"]) for r in soft) == [(1, 0, 0.75), (1, 1, 0.25), (2, 1, 1.0)]
+    sets = spark.createDataFrame([(["x"], ["x", "y"]), (["x"], ["z"]), ([], ["z"]), (None, ["z"])], "a array<string>, b array<string>")
+    lf = weak.ratio_lf("recall", "a", "b", 0.4, 0.6)
+    assert [r[0] for r in sets.select(lf.column()).collect()] == [1, -1, 0, 0]
+    scored = spark.createDataFrame([("Good good, bad!",), ("none",), (None,)], "t string").select(weak.lexicon_score(F.col("t"), {"good": 1.0, "bad": -1.0}))
+    assert [round(r[0], 6) for r in scored.collect()] == [0.333333, 0.0, 0.0]
