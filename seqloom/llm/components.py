@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import look_up, materialize
 
 
+#: Edges that one task contracts at once.
+FEW = 10_000
+
+
+def _at_once(batches):
+    """(node, root) of all nodes of the edges (u, v) of one part; at most ``FEW`` of them."""
+    got = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1) for b in batches]
+    nodes, at = np.unique(np.concatenate(got) if got else np.zeros((0, 2), np.int64), return_inverse=True)
+    at = at.reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[local_roots(len(nodes), at[:, 0], at[:, 1])])], names=["node", "root"])
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """(u, v) edges of longs in, (node, root) out: one row per node of an edge, nodes of a component having one root.
 
@@ -16,12 +29,15 @@ def contract(edges: DataFrame) -> DataFrame:
     odd ones; edges follow their ends, loops and repeats go.  Even rounds fold stars, odd ones shorten paths, so the
     number of rounds grows with the logarithm of the graph.  First neighbours are found by an aggregation that combines
     on the map side, and ends and roots are renamed by ``look_up``, so neither a node with very many neighbours nor a
-    giant component is a single task's work.
+    giant component is a single task's work.  The last ``FEW`` edges are contracted in one task, at once.
     Empty and looping edges are allowed; a node all of whose edges are loops has no row.
     """
     rounds: list[DataFrame] = []
     edges = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    while not edges.isEmpty():
+    while left := edges.count():
+        if left <= FEW:
+            rounds.append(materialize(edges.coalesce(1).mapInArrow(_at_once, "node long, root long"), "moved"))
+            break
         k = len(rounds)
         rank = (lambda c: F.struct(F.col(c).alias("r"), F.col(c).alias("n"))) if k % 2 == 0 else (lambda c: F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("r"), F.col(c).alias("n")))
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -179,7 +179,7 @@ SKETCH_RADIUS = 72
 PART_BITS = 2
 #: Texts of a candidate class that are compared in one task; those of a larger class that go to all its tasks; and those
 #: that are compared with a whole class at once.
-CLASS, LEADERS, ASKED = 200, 32, 64
+CLASS, LEADERS, ASKED = 64, 16, 32
 #: Bitmaps of row numbers that are broadcast at most: 16 MB.
 MOST_MAPS = 4_096
 SHORT, SHORT_HALF = 32, 16

@@ -33,9 +33,9 @@ from ._common import materialize, table
 #: Ids in a shard, at least, unless the partition ends.
 SHARD_IDS = 1_000_000
 #: Distinct white-space-separated chunks whose ids a worker remembers, and their longest length.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 300_000, 48
 #: Bytes of text that are encoded together, but for a longer single text.
-TEXT_AT_ONCE = 4 << 20
+TEXT_AT_ONCE = 2 << 20
 
 _encoders: dict[str, "Encoder"] = {}
 

@@ -188,7 +188,9 @@ def test_look_up_of_hot_keys(spark, monkeypatch):
     assert got == [(r["id"], {7: "a", 9: "c", 1: "d"}.get(r["k"])) for r in rows.orderBy("id").collect()]
 
 
-def test_contraction(spark):
+@pytest.mark.parametrize("few", [0, 30, 10_000])
+def test_contraction(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(45)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components.contract(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -198,7 +200,8 @@ def test_contraction(spark):
     assert len({(got[n], int(roots[n])) for n in got}) == len(set(got.values())) == len({int(roots[n]) for n in got})
 
 
-def test_simhash_odd_tables(odd, empty):
+def test_simhash_odd_tables(odd, empty, monkeypatch):
+    monkeypatch.setattr(components, "FEW", 0)
     rows = simhash.near_duplicates(odd).collect()
     classes = {(r["doc_id"], r["component_id"]) for r in rows}
     assert len(rows) == 9 and {(1, 1), (6, 1), (2, 2), (3, 2), (4, 2), (5, 5), (7, 7)} <= classes
