@@ -191,7 +191,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     """Nulls, blank and very long texts, repeated rows and an empty table: as the module states."""
-    judged = judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     m = F.col("measures")
     counts = [m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged.select("doc_id", *counts, "base_failed", "kept", "posterior")
