@@ -79,6 +79,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Returns memory that a worker has freed to the system; called at the end of a part, since workers stay."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in slices, so that what is made of a batch is not held for all its rows at once; gives memory back at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    give_back()
+
+
 def look_up(rows: DataFrame, key: str, found: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """``rows`` with the further columns of ``found``, which has one row for each ``key``; rows without one keep nulls.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, table
+from ._common import give_back, materialize, table
 from .tokens import encoder, vocabulary
 
 LENGTH = 4096
@@ -91,6 +91,7 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = 2, length: in
                         yield record(rows, cut)
                         rows, cut, held = [], [], 0
             yield record(rows, cut)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE + ", ids binary" * with_ids)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, table
+from ._common import fresh, slices, table
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -246,7 +246,7 @@ def scan(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             spans = [[{"kind": k, "start": a, "end": b, "value": t[a:b]} for a, b, k in find(t)] if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span)], names=["doc_id", "spans"])
 
@@ -267,7 +267,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
     """``docs`` with the secrets in its texts masked; other columns unchanged."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index(column)
             yield batch.set_column(at, batch.schema.field(at), pa.array([masked(t, mask) for t in batch.column(at).to_pylist()], batch.schema.field(at).type))
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, look_up, materialize, table
+from ._common import fresh, look_up, materialize, slices, table
 from .components import contract, local_roots
 
 BITS = 64
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", shingl
     """(doc_id, fp): the fingerprint of every row as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).cast(pa.binary())
             fps = [fingerprint(t.as_py() or b"", shingle, seed) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
@@ -394,14 +394,13 @@ def _row_classes(marked: DataFrame, text: str, row: str, shingle: int = 5) -> Da
     def run(batches):
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches):
             digests, found = [], np.zeros((len(batch), SKETCH), dtype=np.int64)
             for k, t in enumerate(batch.column(1).cast(pa.binary())):
                 h = shingle_set(t.as_py() or b"", shingle)
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 found[k] = sketch(h)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *[pa.array(found[:, k]) for k in range(SKETCH)]], names=["row", "digest", *names])
-            pa.default_memory_pool().release_unused()
 
     rows = marked.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(run, "row long, digest binary, " + ", ".join(f"{n} long" for n in names))
     rows = materialize(rows, "sketches")

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, table
+from ._common import give_back, materialize, table
 
 #: Ids in a shard, at least, unless the partition ends.
 SHARD_IDS = 1_000_000
@@ -262,6 +262,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 1, shar
                     made, doc_ids, ids, held = made + 1, [], [], 0
         if doc_ids:
             yield pa.RecordBatch.from_pylist([build_shard((part << 32) + made, doc_ids, ids)], schema=layout)
+        give_back()
 
     layout = _arrow(SHARD)
     # equal doc_ids, nulls among them, may be many: the hash of the text lets them go to several partitions
