@@ -92,7 +92,8 @@ def drop_explained(df: DataFrame, nominal: list[str], numeric: list[str], level:
     kept = []
     for c in nominal:
         tests = [kruskal(df, x, c).first() for x in numeric]
-        if not any(t["groups"] and t["groups"] > 1 and (chi2_tail(t["h_corrected"], t["groups"] - 1) or 1.0) < level for t in tests if t and t["h_corrected"] is not None):
+        tails = [chi2_tail(t["h_corrected"], t["groups"] - 1) for t in tests if t["h_corrected"] is not None and t["groups"] > 1]
+        if not any(p is not None and p < level for p in tails):
             kept.append(c)
     return kept
 

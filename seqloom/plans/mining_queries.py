@@ -117,6 +117,29 @@ def cube_pattern_similarity(spark, d):
     return s.select("g", "cluster", R(F.col("distance"), 5).alias("distance"), R(F.col("cosine")).alias("cosine"))
 
 
+def numbered_cubes(spark, d) -> DataFrame:
+    """Runs of the ratio edges as cubes of one time, numbered by a hash of what they hold."""
+    e = TR.ratio_edges(cube(spark, d), 0.02, 8).select(F.array("t").alias("t"), F.array("s1", "s2").alias("s"), F.array_sort("g").alias("g"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("/", *[F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))) for c in ("t", "s", "g")])), 1, 12), 16, 10).cast("long")
+    return e.select(number.alias("cube"), "t", "s", "g")
+
+
+def _shown(cubes: DataFrame) -> DataFrame:
+    return cubes.select(*[F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(c) for c in ("t", "s", "g")])
+
+
+@query("cubes_not_covered")
+def cubes_not_covered(spark, d):
+    """Cubes without those that a larger one that stays covers to three quarters."""
+    return _shown(TR.drop_covered(numbered_cubes(spark, d), 0.75))
+
+
+@query("cubes_merged")
+def cubes_merged(spark, d):
+    """Cubes merged while two fill all but two hundredths of the box around both."""
+    return _shown(TR.merge_filled(numbered_cubes(spark, d), 0.98))
+
+
 # --- learned models ---------------------------------------------------------------------------------------------------
 
 

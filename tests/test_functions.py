@@ -236,6 +236,9 @@ def test_nominal_features(spark):
     df = spark.createDataFrame(rows, "a string, b string, c string, x double, y double")
     assert statistics.drop_associated(df, ["a", "b", "c"]) == ["b", "c"]
     assert statistics.drop_explained(df, ["a", "c"], ["x"]) == ["c"]
+    # a difference whose tail is zero in doubles, and a column of one group
+    far = spark.createDataFrame([("u" if i % 2 else "v", "w", float(i % 2 * 1000 + i)) for i in range(4000)], "a string, b string, x double")
+    assert statistics.drop_explained(far, ["a", "b"], ["x"]) == ["b"]
 
 
 def test_internal_quality_without_parts(spark):
@@ -259,3 +262,60 @@ def test_soft_labels_and_ratios(spark):
     assert [r[0] for r in sets.select(lf.column()).collect()] == [1, -1, 0, 0]
     scored = spark.createDataFrame([("Good good, bad!",), ("none",), (None,)], "t string").select(weak.lexicon_score(F.col("t"), {"good": 1.0, "bad": -1.0}))
     assert [round(r[0], 6) for r in scored.collect()] == [0.333333, 0.0, 0.0]
+
+
+# --- cubes after mining -----------------------------------------------------------------------------------------------
+
+
+def random_cubes(seed, n=25):
+    rng = np.random.default_rng(seed)
+    some = lambda m, k: sorted(rng.choice(m, rng.integers(1, k + 1), replace=False).tolist())
+    return [(i, some(3, 3), some(3, 3), some(7, 6)) for i in range(n)]
+
+
+def cells_of(c):
+    return set(itertools.product(*c[1:]))
+
+
+@pytest.mark.parametrize("share", [0.5, 0.75, 1.0])
+def test_cubes_not_covered(spark, share):
+    from seqloom.operators import triclusters
+
+    cubes = random_cubes(1)
+    kept = []
+    for c in sorted(cubes, key=lambda c: (-len(cells_of(c)), c[0])):
+        if not any(len(cells_of(c) & cells_of(k)) >= share * len(cells_of(c)) for k in kept):
+            kept.append(c)
+    df = spark.createDataFrame(cubes, "cube long, t array<int>, s array<int>, g array<int>")
+    got = {r["cube"] for r in triclusters.drop_covered(df, share).collect()}
+    assert got == {c[0] for c in kept} and len(got) < len(cubes)
+
+
+def test_cubes_merged(spark):
+    from seqloom.operators import triclusters
+
+    left, share, merges = {c[0]: c for c in random_cubes(2, 14)}, 0.7, 0
+    start = list(left.values())
+    while True:
+        fits = {}
+        for a, b in itertools.combinations(sorted(left), 2):
+            box = [sorted({*x, *y}) for x, y in zip(left[a][1:], left[b][1:])]
+            filled = len(cells_of(left[a]) | cells_of(left[b])) / math.prod(map(len, box))
+            if filled >= share:
+                fits[a, b] = filled, box
+        if not fits:
+            break
+        wish = {}
+        for (a, b), (f, _) in fits.items():
+            for who, partner in ((a, b), (b, a)):
+                wish[who] = max(wish.get(who, (0.0, -math.inf)), (f, -partner))
+        for (a, b), (_, box) in fits.items():
+            if wish[a][1] == -b and wish[b][1] == -a:
+                del left[b]
+                left[a] = (a, *box)
+                merges += 1
+    df = spark.createDataFrame(start, "cube long, t array<int>, s array<int>, g array<int>")
+    got = {(r["cube"], *map(tuple, (r["t"], r["s"], r["g"]))) for r in triclusters.merge_filled(df, share).collect()}
+    assert got == {(c[0], *map(tuple, c[1:])) for c in left.values()} and merges
+    with pytest.raises(ValueError):
+        triclusters.merge_filled(df, 0.2)
