@@ -48,11 +48,11 @@ def split_numbers(spark, d):
     return T(spark, d, "orders").select("o_orderkey", F.aggregate(scalars.split_ints(text), F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
-@query("number_formats", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'NA' ELSE format('{:.3e}', o_totalprice::DOUBLE / 7) END AS shown,
+@query("number_formats", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'NA' ELSE format('{:.3e}', (o_totalprice::DOUBLE + 0.003::DOUBLE) / 7) END AS shown,
 format('{:.2f} ({:.2f}-', (o_orderkey % 1000) / 7.0::DOUBLE, (o_orderkey % 100) / 7.0::DOUBLE) || CASE WHEN o_orderstatus = 'P' THEN 'NA' ELSE format('{:.2f}', (o_custkey % 100) / 7.0::DOUBLE) END || ')' AS span FROM orders""")
 def number_formats(spark, d):
     known = lambda c: F.when(F.col("o_orderstatus") != "P", c)
-    price = F.col("o_totalprice").cast("double") / 7
+    price = (F.col("o_totalprice").cast("double") + 0.003) / 7
     parts = (F.col("o_orderkey") % 1000) / F.lit(7.0), (F.col("o_orderkey") % 100) / F.lit(7.0), known((F.col("o_custkey") % 100) / F.lit(7.0))
     return T(spark, d, "orders").select("o_orderkey", scalars.scientific(known(price)).alias("shown"), scalars.interval_text(*parts).alias("span"))
 
