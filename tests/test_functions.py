@@ -319,3 +319,52 @@ def test_cubes_merged(spark):
     assert got == {(c[0], *map(tuple, c[1:])) for c in left.values()} and merges
     with pytest.raises(ValueError):
         triclusters.merge_filled(df, 0.2)
+
+
+def gapped_cube(seed):
+    rng = np.random.default_rng(seed)
+    return {(t, s, g): float(rng.integers(1, 5)) for t in range(3) for s in range(4) for g in range(12) if rng.random() < 0.75}
+
+
+@pytest.mark.parametrize("share, w, rounds", [(0.5, 0.0, 1), (0.4, 1.0, 1), (0.5, 1.0, 2), (0.0, 1.0, 1)])
+def test_biclusters_with_missing_values(spark, share, w, rounds):
+    """Against a loop over all entities and members; a zero is missing too."""
+    val = gapped_cube(5)
+    found = [(0, [0, 1, 2], [0, 1]), (0, [1, 3], [4]), (1, [0, 2, 3], [2, 5, 7]), (2, [0], [1])]
+    want = set()
+    for t, s, g in found:
+        inside = set(g)
+        for _ in range(rounds):
+            more = set()
+            for e in set(range(12)) - inside:
+                own = [i for i in s if (t, i, e) in val]
+                if own and len(s) - len(own) <= share * len(s) and any(all((t, i, m) in val and abs(val[t, i, e] - val[t, i, m]) <= w for i in own) for m in inside):
+                    more.add(e)
+            inside |= more
+        if len(inside) >= 2:
+            want.add((t, tuple(s), tuple(sorted(inside))))
+    cube = spark.createDataFrame([(*k, val.get(k, 0.0)) for k in itertools.product(range(3), range(4), range(12))], "t int, s int, g long, val double")
+    got = TR.with_missing(cube, spark.createDataFrame(found, "t int, s array<int>, g array<long>"), share, w, 2, rounds).collect()
+    assert {(r["t"], tuple(r["s"]), tuple(r["g"])) for r in got} == want and len(got) == len(want)
+    assert any(len(g) > len(f[2]) for f in found for t, s, g in want if (t, list(s)) == (f[0], f[1]))
+
+
+def test_even_triclusters_inside_uneven_ones(spark):
+    """The whole cube deviates along its entities; the part over later times and fewer entities doesn't."""
+    cube = {0: ([1, 2, 4], [2, 4, 8], [50, 100, 200]), 1: ([2, 4, 8], [2, 4, 8], [60, 120, 240]), 2: ([3, 6, 12], [3, 6, 12], [1, 9, 2])}
+    df = spark.createDataFrame([(t, s, g, float(v)) for t, gs in cube.items() for g, vs in enumerate(gs) for s, v in enumerate(vs)], "t int, s int, g long, val double")
+    whole = {(tuple(r["t"]), tuple(r["g"])) for r in TR.triclusters(df, 0.01, 2, 2, 2).collect()}
+    calm = {(tuple(r["t"]), tuple(r["g"])) for r in TR.triclusters(df, 0.01, 2, 2, 2, most=(None, None, 1.0)).collect()}
+    assert whole == {((0, 1), (0, 1, 2)), ((0, 1, 2), (0, 1))} and calm == {((0, 1, 2), (0, 1))}
+
+
+def test_report_round_trip(spark, tmp_path):
+    from seqloom.sources import reports
+
+    cube = spark.createDataFrame([(3, 0, 10, 1.25), (3, 2, 10, -7.5), (4, 0, 10, 1234567.0), (3, 0, 2, 0.004)], "t int, s int, g long, val double")
+    cubes = spark.createDataFrame([(12, [3, 4], [0, 2], [2, 10]), (7, [3], [2], [10])], "cube long, t array<int>, s array<int>, g array<long>")
+    reports.write_report(cube, cubes, str(tmp_path / "r"))
+    got = {tuple(r) for r in reports.read_report(spark, str(tmp_path / "r")).collect()}
+    want = {(12, t, s, g, 0.0) for t in (3, 4) for s in (0, 2) for g in (2, 10)} - {(12, 3, 0, 10, 0.0), (12, 3, 2, 10, 0.0), (12, 4, 0, 10, 0.0)}
+    assert got == want | {(12, 3, 0, 10, 1.25), (12, 3, 2, 10, -7.5), (12, 4, 0, 10, 1234567.0), (7, 3, 2, 10, -7.5)}
+    assert list(reports.parse("text before the first cluster")) == []
