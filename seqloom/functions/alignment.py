@@ -30,12 +30,31 @@ def dtw(a: Column, b: Column, cost=lambda x, y: F.abs(x - y)) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.element_at(F.aggregate(a, first, row), -1))
 
 
-def levenshtein(a: Column, b: Column, substitution=lambda x, y: F.when(x == y, 0.0).otherwise(1.0)) -> Column:
-    """Edit distance with unit insertions and deletions and any cost of substitution."""
+def hamming(x: Column, y: Column) -> Column:
+    """0 for equal events, else 1."""
+    return F.when(x == y, 0.0).otherwise(1.0)
+
+
+def looked_up(costs: list[list[float]]):
+    """The cost of two events that are codes from 0, from a matrix; NULL for codes beyond it."""
+    rows = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in costs])
+    return lambda x, y: F.get(F.get(rows, x.cast("int")), y.cast("int"))
+
+
+def in_time(tc: float, cost=lambda x, y: F.abs(x - y)):
+    """The cost of two (t, v) points, infinite where their squared time difference exceeds ``tc``."""
+    return lambda x, y: F.when((x["t"] - y["t"]) * (x["t"] - y["t"]) > tc, F.lit(INF)).otherwise(cost(x["v"], y["v"]))
+
+
+def levenshtein(a: Column, b: Column, substitution=hamming, insert: float = 1.0, delete: float = 1.0, substitute: float | None = None) -> Column:
+    """Edit distance with any cost of substitution, or one cost where the substitution isn't free; what precedes the first
+    element of either sequence costs 1 an element, whatever insertions and deletions cost.
+    """
+    swap = substitution if substitute is None else lambda x, y: F.when(substitution(x, y) == 0, 0.0).otherwise(float(substitute))
     first = F.transform(F.sequence(F.lit(0), F.size(b)), lambda j: j.cast("double"))
 
     def row(previous: Column, x: Column) -> Column:
-        cell = lambda made, j: F.concat(made, F.array(F.least(previous[j] + 1, made[j - 1] + 1, previous[j - 1] + substitution(x, b[j - 1]).cast("double"))))
+        cell = lambda made, j: F.concat(made, F.array(F.least(previous[j] + delete, made[j - 1] + insert, previous[j - 1] + swap(x, b[j - 1]).cast("double"))))
         return F.when(F.size(b) == 0, F.array(previous[0] + 1)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))), F.array(previous[0] + 1), cell))
 
     return F.element_at(F.aggregate(a, first, row), -1)
@@ -111,10 +130,11 @@ def np_dtw(a: np.ndarray, b: np.ndarray, radius: int | None = None, tc: float |
     return float(previous[-1])
 
 
-def np_levenshtein(a: np.ndarray, b: np.ndarray) -> float:
+def np_levenshtein(a: np.ndarray, b: np.ndarray, insert: float = 1.0, delete: float = 1.0, substitute: float = 1.0) -> float:
+    """Edit distance; what precedes the first element of either sequence costs 1 an element."""
     previous = np.arange(len(b) + 1, dtype=float)
     for i, x in enumerate(a):
-        row = _chain(i + 1.0, np.minimum(previous[1:] + 1, previous[:-1] + (b != x)), np.ones(len(b)))
+        row = _chain(i + 1.0, np.minimum(previous[1:] + delete, previous[:-1] + substitute * (b != x)), np.full(len(b), insert))
         previous = np.concatenate([[i + 1.0], row])
     return float(previous[-1])
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.alignment import drop_dtw_two_sided, event_costs
+from seqloom.operators.evaluation import silhouettes
+from seqloom.sources.scratch import written
 
 #: Largest number of points that the hierarchies take; they hold all distances on the driver.
 MOST_POINTS = 3_000
@@ -145,6 +149,45 @@ def spectral(edges: DataFrame, k: int, neighbours: int, seed_rounds: int = 20) -
     return PowerIterationClustering(k=k, maxIter=seed_rounds, weightCol="weight").assignClusters(graph)
 
 
+def best_neighbours(edges: DataFrame, k: int, grid: list[int]) -> list[tuple[int, float]]:
+    """(neighbours, mean silhouette) of spectral clusterings over a grid, the best first, of equals the fewest neighbours."""
+    scores = []
+    for n in grid:
+        mean = silhouettes(edges, spectral(edges, k, n).select("id", F.col("cluster").alias("label"))).agg(F.avg("silhouette")).first()[0]
+        scores.append((n, -1.0 if mean is None else float(mean)))
+    return sorted(scores, key=lambda x: (-x[1], x[0]))
+
+
+def matrix_kmeans(edges: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """(id, cluster) by k-means on the rows of the upper triangle of a distance matrix (id1, id2, d; id1 below id2).
+
+    A row is a vector as long as there are points, so there may be no more than ``MOST_POINTS``.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    ids = edges.select(F.col("id1").alias("id")).union(edges.select("id2")).distinct()
+    places = {r[0]: i for i, r in enumerate(_points(ids, "id"))}
+    at = edges.sparkSession.createDataFrame(list(places.items()), ids.withColumn("place", F.lit(0).cast("int")).schema) if places else ids.withColumn("place", F.lit(0))
+    to = at.select(F.col("id").alias("id2"), "place")
+    rows = edges.join(F.broadcast(to), "id2").groupBy("id1").agg(F.map_from_entries(F.collect_list(F.struct("place", F.col("d").cast("double").alias("d")))).alias("held"))
+    wide = at.join(rows, F.col("id") == F.col("id1"), "left").withColumn("held", F.coalesce("held", F.expr("map_from_arrays(cast(array() as array<int>), cast(array() as array<double>))")))
+    v = wide.select("id", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(max(0, len(places) - 1))), lambda j: F.coalesce(F.try_element_at("held", j), F.lit(0.0)))).alias("features"))
+    return KMeans(k=k, seed=seed).fit(v).transform(v).select("id", F.col("prediction").alias("cluster"))
+
+
+def workflows(measures: dict[str, DataFrame], methods: dict[str, Callable[[DataFrame, int], DataFrame]], ks: list[int]) -> DataFrame:
+    """(id, measure, method, k, cluster): every method (of a distance list and a number of clusters) on every measure."""
+    out = None
+    for m, edges in measures.items():
+        edges = written(edges, "measure")
+        for name, f in methods.items():
+            for k in ks:
+                one = f(edges, k).select("id", F.lit(m).alias("measure"), F.lit(name).alias("method"), F.lit(k).alias("k"), "cluster")
+                out = one if out is None else out.unionByName(one)
+    return out
+
+
 def hopkins(df: DataFrame, id: str, vector: str, m: int = 50, seed: int = 0) -> float | None:
     """Hopkins statistic: distances from m points drawn in the bounding box, and from m rows, to their nearest rows.
 

@@ -175,6 +175,20 @@ def augment(df: DataFrame, id: str, transformations: list[Callable[[Column], Col
     return df.withColumn("copy", F.lit(0)).unionByName(made) if keep else made
 
 
+def augment_each(df: DataFrame, id: str, transformations: list[Callable[[Column], Column]], text: str, p: list[float], n: int = 1, seed: int = 0, keep: bool = True) -> DataFrame:
+    """Each row n times, every transformation applied in turn with its own probability, drawn by hash; the originals too,
+    if kept.  Copies that stay as they were are dropped.  Column ``copy`` is 0 for originals.
+    """
+    made = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    new = F.col(text)
+    for j, (f, share) in enumerate(zip(transformations, p, strict=True)):
+        key = F.concat_ws("|", F.lit(str(seed)), F.col(id).cast("string"), F.col("copy").cast("string"), F.lit(str(j)))
+        made = made.withColumn("new_text", F.when(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % 1_000_000 < F.lit(int(share * 1_000_000)), f(new)).otherwise(new))
+        new = F.col("new_text")
+    made = made.where(new != F.col(text)).withColumn(text, new).drop("new_text")
+    return df.withColumn("copy", F.lit(0)).unionByName(made) if keep else made
+
+
 def preprocessed(df: DataFrame, *steps: Callable[[DataFrame], dict[str, Column]]) -> DataFrame:
     """``df`` with the columns that preprocessors make, each seeing those of the ones before; made once for all functions."""
     for step in steps:

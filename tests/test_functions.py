@@ -78,6 +78,7 @@ def test_numpy_metrics_against_plain_programmes(x, y):
 
     a, b, inf = np.array(x, float), np.array(y, float), math.inf
     assert A.np_levenshtein(a, b) == table(lambda j: j, lambda i: i, lambda m, i, j: min(m[i - 1][j] + 1, m[i][j - 1] + 1, m[i - 1][j - 1] + (x[i - 1] != y[j - 1])))
+    assert A.np_levenshtein(a, b, 0.5, 1.5, 0.75) == pytest.approx(table(lambda j: j, lambda i: i, lambda m, i, j: min(m[i - 1][j] + 1.5, m[i][j - 1] + 0.5, m[i - 1][j - 1] + 0.75 * (x[i - 1] != y[j - 1]))))
     assert A.np_dtw(a, b) == pytest.approx(table(lambda j: 0 if j == 0 else inf, lambda i: inf, lambda m, i, j: abs(x[i - 1] - y[j - 1]) + min(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1])))
     assert A.np_lcss(a, b) == table(lambda j: 0, lambda i: 0, lambda m, i, j: m[i - 1][j - 1] + 1 if x[i - 1] == y[j - 1] else max(m[i - 1][j], m[i][j - 1]))
     assert A.np_dtw(a, a) == 0 and A.twed(a, a, np.arange(len(a)), np.arange(len(a))) == 0
@@ -368,3 +369,29 @@ def test_report_round_trip(spark, tmp_path):
     want = {(12, t, s, g, 0.0) for t in (3, 4) for s in (0, 2) for g in (2, 10)} - {(12, 3, 0, 10, 0.0), (12, 3, 2, 10, 0.0), (12, 4, 0, 10, 0.0)}
     assert got == want | {(12, 3, 0, 10, 1.25), (12, 3, 2, 10, -7.5), (12, 4, 0, 10, 1234567.0), (7, 3, 2, 10, -7.5)}
     assert list(reports.parse("text before the first cluster")) == []
+
+
+def test_settings():
+    from seqloom import settings as SE
+
+    s = SE.parse("# a run\nTOP_FOLDER: /data/run1/  # here\nmin_app: 3\nINCLUDE_STATIC: true\nREF_FEATURE: 'score'\n")
+    assert (s.min_app, s.include_static, s.ref_feature, s.n_clust, s.folder("tricluster_matrices")) == (3, True, "score", 2, "/data/run1/matrices/trics")
+    for wrong in ("top_folder: a\nunknown: 1", "top_folder"):
+        with pytest.raises(ValueError):
+            SE.parse(wrong)
+
+
+def test_clusterings_of_distances(spark):
+    """Points on a line in two far groups."""
+    from seqloom.operators import clustering
+    from seqloom.operators import pairs as PA
+
+    at = {i: (i if i < 6 else 100 + i) for i in range(12)}
+    edges = spark.createDataFrame([(a, b, float(abs(at[a] - at[b]))) for a in at for b in at if a < b], "id1 int, id2 int, d double")
+    parts = lambda rows: {frozenset(r["id"] for r in rows if r["cluster"] == c) for c in {r["cluster"] for r in rows}}
+    got = clustering.matrix_kmeans(edges, 2).collect()
+    assert sorted(r["id"] for r in got) == list(range(12)) and parts(got) == {frozenset(range(6)), frozenset(range(6, 12))}
+    best = clustering.best_neighbours(PA.symmetric(edges, "d"), 2, [3, 4])
+    assert sorted(n for n, _ in best) == [3, 4] and best[0][1] >= best[1][1]
+    grid = clustering.workflows({"line": edges}, {"km": clustering.matrix_kmeans}, [2, 3]).collect()
+    assert len(grid) == 24 and {(r["measure"], r["method"], r["k"]) for r in grid} == {("line", "km", 2), ("line", "km", 3)}
