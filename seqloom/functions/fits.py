@@ -86,7 +86,7 @@ def weibull(t, p):
 
 def fit_sigmoid(t, v, mask, top: float = 48.0):
     """b / (1 + exp(k (t - a))) + c with b in [38, 48], k in [0, 10], a in [0, last t], c in [-10, 10]; best of several starts."""
-    last = np.maximum((t * mask).max(axis=1), 1e-9)
+    last = np.maximum((t * (mask > 0)).max(axis=1), 1e-9)
     zero = np.zeros_like(last)
     low = np.array([38.0, 0.0, 0.0, -10.0])
     high = np.stack([zero + 48, zero + 10, last, zero + 10], axis=1)
@@ -122,10 +122,13 @@ def d50(t, v, mask, p, half: float = 24.0) -> np.ndarray:
     return np.where(v[:, 0] < half, 0.0, np.where(hit.any(axis=1), at, by_curve) / 365.25)
 
 
-def band(t, v, mask, p, sse) -> np.ndarray:
-    """Standard errors of the sigmoid's parameters of each sequence, from the curvature at the fit."""
+def band(t, v, mask, p, sse, points=None) -> np.ndarray:
+    """Standard errors of the sigmoid's parameters of each sequence, from the curvature at the fit.
+
+    ``points`` is the number of points fitted, if the mask holds weights (roots of counts).
+    """
     _, j = sigmoid(t, p)
     j = j * mask[..., None]
     h = np.einsum("nlp,nlq->npq", j, j) + np.eye(p.shape[1]) * 1e-9
-    freedom = np.maximum(mask.sum(axis=1) - p.shape[1], 1)
+    freedom = np.maximum((mask.sum(axis=1) if points is None else points) - p.shape[1], 1)
     return np.sqrt(np.maximum(np.einsum("npp->np", np.linalg.inv(h)), 0) * (sse / freedom)[:, None])

@@ -1,4 +1,4 @@
-"""Queries of edit costs, warping within time, agreement of labellings, grids of clusterings, and drawn augmentation."""
+"""Queries of edit costs, warping within time, agreement of labellings, grids of clusterings, models of clusters, and drawn augmentation."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import alignment as A
 from seqloom.operators import clustering as C
 from seqloom.operators import evaluation as E
+from seqloom.operators import models as M
 from seqloom.operators import pairs as P
 from seqloom.operators import weak as W
 
@@ -78,6 +79,21 @@ def clustering_grid(spark, d):
     return C.workflows({"warped_values": nation_distances(spark, d, "v"), "warped_events": nation_distances(spark, d, "e")}, methods, [2, 3])
 
 
+@query("cluster_curves")
+def cluster_curves(spark, d):
+    """A sigmoid and its band for the customers of each segment: orders' values, scaled, by the months since 1992."""
+    o = T(spark, d, "orders").join(T(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    month = F.months_between(F.trunc("o_orderdate", "month"), F.lit("1992-01-01").cast("date"))
+    return M.cluster_curves(o.select("c_mktsegment", month.alias("t"), (F.sqrt("o_totalprice") / 12).alias("v")), "c_mktsegment", "t", "v").withColumnRenamed("cluster", "segment")
+
+
+@query("one_against_rest")
+def one_against_rest(spark, d):
+    """What tells orders of each status from the others, in two folds."""
+    o = T(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).alias("day"), "o_totalprice")
+    return M.one_against_rest(o, "o_orderkey", ["day", "o_totalprice"], "o_orderstatus", 2)
+
+
 @query("augmented_each", r"""WITH c AS (SELECT doc_id, text, copy, list_transform(range(0, 3), lambda j: ('0x' || substr(md5(concat_ws('|', '5', doc_id::VARCHAR, copy::VARCHAR, j::VARCHAR)), 1, 8))::BIGINT % 1000000) AS h FROM documents, range(1, 3) r(copy)),
 a AS (SELECT doc_id, text, copy, h, CASE WHEN h[1] < 500000 THEN regexp_replace(text, '\bthe\b', 'this', 'g') ELSE text END AS t FROM c), b AS (SELECT doc_id, text, copy, h, CASE WHEN h[2] < 250000 THEN replace(t, ',', '') ELSE t END AS t FROM a),
 n AS (SELECT doc_id, text, copy, CASE WHEN h[3] < 750000 THEN regexp_replace(t, '^(\S+)', '\1 \1') ELSE t END AS t FROM b)

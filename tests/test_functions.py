@@ -395,3 +395,30 @@ def test_clusterings_of_distances(spark):
     assert sorted(n for n, _ in best) == [3, 4] and best[0][1] >= best[1][1]
     grid = clustering.workflows({"line": edges}, {"km": clustering.matrix_kmeans}, [2, 3]).collect()
     assert len(grid) == 24 and {(r["measure"], r["method"], r["k"]) for r in grid} == {("line", "km", 2), ("line", "km", 3)}
+
+
+def test_curves_of_clusters(spark):
+    """The fit of added-up points is that of all points."""
+    from seqloom.operators import models as M
+
+    rng = np.random.default_rng(0)
+    t = np.repeat(np.arange(0, 1500, 100.0), 4)
+    v = 46 / (1 + np.exp(0.005 * (t - 700))) + rng.normal(0, 1, len(t))
+    rows = [("x", float(a), float(b)) for a, b in zip(t, v)] + [("y", None, 1.0)]
+    r = M.cluster_curves(spark.createDataFrame(rows, "c string, t double, v double"), "c", "t", "v", 5).collect()
+    assert len(r) == 1 and r[0]["n"] == len(t) and r[0]["x"] == pytest.approx([0, 350, 700, 1050, 1400])
+    x = fits.padded([t], [v])
+    p, sse = fits.fit_sigmoid(*x)
+    assert [r[0][n] for n in "bkac"] == pytest.approx(p[0], rel=1e-3, abs=1e-3)
+    assert [r[0][f"se_{n}"] for n in "bkac"] == pytest.approx(fits.band(*x, p, sse)[0], rel=1e-2)
+    assert r[0]["middle"] == pytest.approx(fits.sigmoid(np.array([r[0]["x"]]), p)[0][0], rel=1e-2)
+
+
+def test_one_against_rest(spark):
+    """Only the first feature tells the classes apart; the larger class is thinned."""
+    from seqloom.operators import models as M
+
+    rows = [(i, "a" if i % 4 == 0 else "b", float(i % 4 == 0) + (i % 7) / 100, float(i % 5)) for i in range(400)]
+    got = {(r["class"], r["feature"]): r for r in M.one_against_rest(spark.createDataFrame(rows, "id long, y string, u double, w double"), "id", ["u", "w"], "y", 2).collect()}
+    assert set(got) == {(c, f) for c in "ab" for f in "uw"}
+    assert all(r["accuracy"] > 0.95 for r in got.values()) and got["a", "u"]["loss"] > 0.3 and abs(got["a", "w"]["loss"]) < 0.05
