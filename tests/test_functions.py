@@ -61,7 +61,7 @@ def test_gaps_without_pairs(spark):
     assert P.gaps(df.withColumn("v", F.lit(float("nan"))), "v") is None
 
 
-@pytest.mark.parametrize("name", ["pairs_quartile_votes", "pairs_similarity"])
+@pytest.mark.parametrize("name", ["pairs_quartile_votes", "pairs_similarity", "pairs_normalised"])
 def test_statistics_of_pairs_come_before_the_pairs(spark, sf_dir, name, monkeypatch):
     # neither quartiles, medians nor ranges are taken from the rows of pairs
     from seqloom import catalog
