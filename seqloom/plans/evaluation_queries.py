@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import scalars
+from seqloom.operators import distances as D
 from seqloom.operators import evaluation as E
 from seqloom.operators import pairs as P
 from seqloom.operators import statistics as ST
@@ -78,9 +79,10 @@ def silhouette(spark, d):
 
 @query("medoid_by_label", EDGES + ", t AS (SELECT la AS label, i, round(sum(d), 6) AS total FROM d WHERE la = lb GROUP BY 1, 2) SELECT label, arg_min(i, struct_pack(a := total, b := i)) AS medoid, min(total) AS total FROM t GROUP BY 1")
 def medoid_by_label(spark, d):
-    labels = table(spark, d, "embeddings").select("vec_id", "label")
-    e = P.symmetric(embedding_edges(spark, d), "d").join(labels.select(F.col("vec_id").alias("id1"), "label"), "id1").join(labels.select(F.col("vec_id").alias("id2"), F.col("label").alias("other")), "id2").where("label = other")
-    totals = e.groupBy("label", "id1").agg(R(F.sum("d")).alias("total"))
+    v = table(spark, d, "embeddings")
+    labels = v.select(F.col("vec_id").alias("id"), "label")
+    own = D.totals_by_label(v, "vec_id", "embedding", "label").join(labels, "id").where("label = other")
+    totals = own.select("label", F.col("id").alias("id1"), R(F.col("total")).alias("total"))
     return totals.groupBy("label").agg(P.medoid(totals, "total").alias("medoid"), F.min("total").alias("total"))
 
 

@@ -13,6 +13,7 @@ from seqloom.functions import alignment as A
 from seqloom.functions import fits
 from seqloom.functions import sequences as S
 from seqloom.operators import clustering as C
+from seqloom.operators import distances as D
 from seqloom.operators import evaluation as E
 from seqloom.operators import pairs as P
 from seqloom.operators import relational as RL
@@ -72,6 +73,36 @@ def test_statistics_of_pairs_come_before_the_pairs(spark, sf_dir, name, monkeypa
     assert catalog.QUERIES[name](spark, sf_dir).count() == 45
 
 
+def test_folded_distances(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 5))
+    x[7], x[8] = x[3], x[3]
+    labels = [None if i == 11 else int(i % 3) for i in range(60)]
+    rows = [(i, None if i == 5 else [float(y) for y in v], c) for i, (v, c) in enumerate(zip(x, labels))]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int").repartition(3)
+    monkeypatch.setattr(D, "IN_BLOCK", 16)
+    monkeypatch.setattr(D, "AT_ONCE", 7)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    d[5], d[:, 5] = np.nan, np.nan
+    np.fill_diagonal(d, np.nan)
+    own = np.array([-1 if c is None else c for c in labels])
+    for r in D.totals_by_label(df, "id", "v", "label", (2.0,)).collect():
+        far = d[r["id"]][own == r["other"]]
+        assert (r["total"], r["n"], r["within_0"]) == (pytest.approx(np.nansum(far)), (~np.isnan(far)).sum(), (far <= 2.0).sum())
+    near = sorted(map(tuple, D.nearest(df, "id", "v", 4, 6).collect()))
+    want = sorted((i, j, round(d[i, j], 6)) for i in range(60) if i != 5 for j in sorted((j for j in range(60) if not np.isnan(d[i, j])), key=lambda j: (round(d[i, j], 6), j))[:4])
+    assert [n[:2] for n in near] == [w[:2] for w in want] and np.allclose([n[2] for n in near], [w[2] for w in want], atol=1e-6)
+    assert D.nearest(df.where("id < 1"), "id", "v", 4).count() == D.totals_by_label(df.where("id < 0"), "id", "v", "label").count() == 0
+
+
+@pytest.mark.parametrize("name", ["medoid_by_label"])
+def test_vector_queries_list_no_pairs(spark, sf_dir, name, monkeypatch):
+    from seqloom import catalog
+
+    monkeypatch.setattr(P, "pairs", None)
+    assert not catalog.QUERIES[name](spark, sf_dir).isEmpty()
+
+
 def test_sequences_of_one_point_and_none(spark):
     q = F.col("seq")
     one = S.to_sequences(spark.createDataFrame([(1, 5, 2.0), (2, None, 1.0)], "id int, t int, v double"), "id", "t", "v")
