@@ -88,8 +88,7 @@ def medoid_by_label(spark, d):
 
 @query("nearest_neighbour", EDGES + " SELECT i AS id, arg_min(j, struct_pack(a := round(d, 6), b := j)) AS nearest, round(min(d), 6) AS d FROM d GROUP BY 1")
 def nearest_neighbour(spark, d):
-    e = P.symmetric(embedding_edges(spark, d).withColumn("d", R(F.col("d"))), "d")
-    return e.groupBy(F.col("id1").alias("id")).agg(F.min_by("id2", F.struct("d", "id2")).alias("nearest"), F.min("d").alias("d"))
+    return D.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", 1, 6).select(F.col("id1").alias("id"), F.col("id2").alias("nearest"), "d")
 
 
 @query("spread_indices", """WITH x AS (SELECT vec_id AS id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings),
