@@ -72,8 +72,7 @@ EDGES = "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM em
 
 @query("silhouette", EDGES + ", m AS (SELECT i, la, lb, avg(d) AS m FROM d GROUP BY ALL), s AS (SELECT i, la, max(m) FILTER (WHERE la = lb) AS a, min(m) FILTER (WHERE la <> lb) AS b FROM m GROUP BY 1, 2) SELECT la AS label, count(*) AS n, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) + 0 AS mean, round(stddev_pop(coalesce((b - a) / greatest(a, b), 0)), 6) AS std FROM s GROUP BY 1")
 def silhouette(spark, d):
-    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    s = E.silhouettes(P.symmetric(embedding_edges(spark, d), "d"), labels)
+    s = E.vector_silhouettes(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
     return s.groupBy("label").agg(F.count("*").alias("n"), R(F.avg("silhouette")).alias("mean"), R(F.stddev_pop("silhouette")).alias("std"))
 
 
