@@ -112,6 +112,15 @@ def test_aligned_areas_come_before_the_pairs(spark, sf_dir, monkeypatch):
     assert made == [["id", "duration", "steps", "inside", "fallen"]]
 
 
+def test_labelled_pairs_take_no_median_of_pairs(spark, sf_dir, monkeypatch):
+    from seqloom.plans import mining_queries as M
+
+    found = [r["mean_diff"] for r in M.labelled_pairs(spark, sf_dir).select("mean_diff").collect()]
+    monkeypatch.setattr(F, "median", None)
+    got = M.labelled_pairs(spark, sf_dir).select("mean_diff", "label").collect()
+    assert [r["label"] for r in got] == [int(r["mean_diff"] > np.median(found)) for r in got] and len(got) == 45
+
+
 def test_sequences_of_one_point_and_none(spark):
     q = F.col("seq")
     one = S.to_sequences(spark.createDataFrame([(1, 5, 2.0), (2, None, 1.0)], "id int, t int, v double"), "id", "t", "v")
