@@ -502,3 +502,28 @@ def test_one_against_rest(spark):
     got = {(r["class"], r["feature"]): r for r in M.one_against_rest(spark.createDataFrame(rows, "id long, y string, u double, w double"), "id", ["u", "w"], "y", 2).collect()}
     assert set(got) == {(c, f) for c in "ab" for f in "uw"}
     assert all(r["accuracy"] > 0.95 for r in got.values()) and got["a", "u"]["loss"] > 0.3 and abs(got["a", "w"]["loss"]) < 0.05
+
+
+def test_overlaps_over_several_blocks(spark, monkeypatch):
+    from seqloom.operators import overlaps as O
+
+    monkeypatch.setattr(O, "IN_BLOCK", 5)
+    monkeypatch.setattr(O, "AT_ONCE", 3)
+    cubes = random_cubes(4, 23)
+    df = spark.createDataFrame(cubes, "cube long, t array<int>, s array<int>, g array<int>")
+    got = {tuple(r) for r in O.overlaps(df, "cube", ["t", "s", "g"], lambda na, nb, common, a, b: (common[0] > 0) & (common[2] >= 0.5 * na[2])).collect()}
+    want = {(a[0], b[0], *(len({*x} & {*y}) for x, y in zip(a[1:], b[1:]))) for a, b in itertools.permutations(cubes, 2)}
+    want = {w for w in want if w[2] > 0 and w[4] >= 0.5 * len(dict((c[0], c[3]) for c in cubes)[w[0]])}
+    assert got == want and len(want) > 20
+    assert O.overlaps(df.limit(0), "cube", ["t", "s", "g"], lambda *x: True).count() == 0
+
+
+def test_cover_lists_no_cells(spark, monkeypatch):
+    from seqloom.operators import triclusters
+
+    # two cubes of two million cells each: what they share comes from sets, of which cells would be listed by the million
+    wide = list(range(2_000))
+    cubes = [(1, [1, 2], list(range(500)), wide), (2, [1, 2], list(range(499)), wide), (3, [2], [0], [5_000])]
+    monkeypatch.setattr(triclusters, "cells", lambda cubes: pytest.fail("cells were listed"))
+    df = spark.createDataFrame(cubes, "cube long, t array<int>, s array<int>, g array<int>")
+    assert {r["cube"] for r in triclusters.drop_covered(df, 0.75).collect()} == {1, 3}
