@@ -527,3 +527,15 @@ def test_cover_lists_no_cells(spark, monkeypatch):
     monkeypatch.setattr(triclusters, "cells", lambda cubes: pytest.fail("cells were listed"))
     df = spark.createDataFrame(cubes, "cube long, t array<int>, s array<int>, g array<int>")
     assert {r["cube"] for r in triclusters.drop_covered(df, 0.75).collect()} == {1, 3}
+
+
+def test_merging_compares_cubes_that_stay_once(spark, monkeypatch):
+    from seqloom.operators import triclusters
+
+    compared = []
+    monkeypatch.setattr(triclusters, "overlaps", lambda df, *x, f=triclusters.overlaps: compared.append({r["cube"]: len(r["fresh"]) for r in df.collect()}) or f(df, *x))
+    cubes = [(k, [1], [k], list(range(100 * k, 100 * k + 10))) for k in range(1, 6)] + [(6, [1], [1], list(range(100, 109)))]
+    df = spark.createDataFrame(cubes, "cube long, t array<int>, s array<int>, g array<int>")
+    assert triclusters.merge_filled(df, 0.85).count() == 5
+    # of all six first, then of the one that two became
+    assert [sum(c.values()) for c in compared] == [6, 1]
