@@ -539,3 +539,22 @@ def test_merging_compares_cubes_that_stay_once(spark, monkeypatch):
     assert triclusters.merge_filled(df, 0.85).count() == 5
     # of all six first, then of the one that two became
     assert [sum(c.values()) for c in compared] == [6, 1]
+
+
+def test_patterns_copy_no_names(spark, monkeypatch):
+    from seqloom.operators import triclusters as TC
+
+    cube = spark.createDataFrame([(1, s, g, float(g % 3)) for s in (0, 1) for g in range(40)], "t int, s int, g long, val double")
+    rows = [([1], [0, 1], list(range(30))), ([1], [1], list(range(10, 40))), ([1], [0, 1], list(range(30)))]
+    clusters = spark.createDataFrame(rows, "t array<int>, s array<int>, g array<long>")
+    got = {(r["cluster"], r["s"]): round(r["val"], 6) for r in TC.representative_patterns(cube, clusters, nominal=[0], over_time=False).collect()}
+    name = lambda r: "/".join(",".join(map(str, c)) for c in r)
+    want = {}
+    for r in rows:
+        for s in r[1]:
+            v = [float(g % 3) for g in r[2]]
+            want[name(r), s] = min(v, key=lambda x: (-v.count(x), x)) if s == 0 else round(sum(x for x in v if x) / sum(x != 0 for x in v), 6)
+    assert got == want
+    # what is made for cells goes by numbers
+    names, found = TC._patterns(cube, clusters)
+    assert found.columns == ["number", "t", "s", "val"] and names.count() == 2
