@@ -558,3 +558,27 @@ def test_patterns_copy_no_names(spark, monkeypatch):
     # what is made for cells goes by numbers
     names, found = TC._patterns(cube, clusters)
     assert found.columns == ["number", "t", "s", "val"] and names.count() == 2
+
+
+def test_similarity_lists_no_names(spark, monkeypatch):
+    """Against a loop; a pattern's name comes once for a block of entities, missing values and zeros count as they did."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    rng = np.random.default_rng(8)
+    val = {(t, s, g): float(rng.integers(0, 4)) for t in range(3) for s in range(3) for g in range(30) if rng.random() < 0.8}
+    pattern = {("a", 0, 0): 1.0, ("a", 0, 2): 2.5, ("a", 1, 2): 3.0, ("b", 2, 1): 0.0, ("c", 1, 0): 2.0, ("d", 7, 0): 1.0}
+    want = {}
+    for name in "abcd":
+        for g in range(30):
+            both = [(val[t, s, g], p) for (n, t, s), p in pattern.items() if n == name and (t, s, g) in val]
+            if both:
+                norms = math.sqrt(sum(v * v for v, _ in both)) * math.sqrt(sum(p * p for _, p in both))
+                want[g, name] = (round(math.sqrt(sum((v - p) ** 2 for v, p in both)), 9), round(sum(v * p for v, p in both) / norms, 9) if norms else None)
+    sent = []
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, *x, f=PandasCogroupedOps.applyInArrow: sent.append(f(self, *x)) or sent[-1])
+    monkeypatch.setattr(TR, "ENTITIES", 7)
+    monkeypatch.setattr(TR, "LEAST", 40)
+    cube = spark.createDataFrame([(*k, v) for k, v in val.items()], "t int, s int, g long, val double")
+    got = TR.pattern_similarity(cube, spark.createDataFrame([(*k, v) for k, v in pattern.items()], "cluster string, t int, s int, val double")).collect()
+    assert {(r["g"], r["cluster"]): (round(r["distance"], 9), None if r["cosine"] is None else round(r["cosine"], 9)) for r in got} == want and len(got) == len(want)
+    assert sent and sent[0].count() <= 3 * 5 < len(want)
