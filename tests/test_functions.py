@@ -582,3 +582,24 @@ def test_similarity_lists_no_names(spark, monkeypatch):
     got = TR.pattern_similarity(cube, spark.createDataFrame([(*k, v) for k, v in pattern.items()], "cluster string, t int, s int, val double")).collect()
     assert {(r["g"], r["cluster"]): (round(r["distance"], 9), None if r["cosine"] is None else round(r["cosine"], 9)) for r in got} == want and len(got) == len(want)
     assert sent and sent[0].count() <= 3 * 5 < len(want)
+
+
+def test_biclusters_compare_no_sets(spark, monkeypatch):
+    """Runs dealt to several tasks, entities with equal values counted as one: each set once, and none compared with another."""
+    from seqloom.operators import runs as RU
+
+    rng = np.random.default_rng(4)
+    g = {k: sorted(rng.choice(40, 14, replace=False).tolist()) for k in itertools.product((0, 1), (0, 1), (1, 2), range(6)) if k[1] < k[2]}
+    rows = [(t, i, j, 1.0, sorted(e * 10 + c for e in m for c in range(3))) for (t, i, j, _), m in g.items()]
+    edges = spark.createDataFrame(rows, "t int, s1 int, s2 int, low double, g array<long>")
+    monkeypatch.setattr(RU, "STARTS", 2)
+    monkeypatch.setattr(TR, "maximal", lambda *x: pytest.fail("sets were compared"))
+    got = [(r["t"], tuple(r["s"]), tuple(r["g"])) for r in TR.biclusters(edges, 2, 6).collect()]
+    pairs = [(t, (i, j), frozenset(m)) for t, i, j, _, m in rows]
+    found = set(pairs)
+    for t in (0, 1):
+        a, b = [[m for u, p, m in pairs if (u, p) == (t, q)] for q in ((0, 1), (1, 2))]
+        c = [m for u, p, m in pairs if (u, p) == (t, (0, 2))]
+        found |= {(t, (0, 1, 2), x & y & z) for x in a for y in b for z in c if len(x & y & z) >= 6}
+    want = {f for f in found if not any(f[0] == o[0] and {*f[1]} <= {*o[1]} and f[2] <= o[2] and f != o for o in found)}
+    assert {(t, s, frozenset(m)) for t, s, m in got} == want and len(got) == len(want) and sum(len(s) == 3 for _, s, _ in got) > 2
