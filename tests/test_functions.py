@@ -603,3 +603,26 @@ def test_biclusters_compare_no_sets(spark, monkeypatch):
         found |= {(t, (0, 1, 2), x & y & z) for x in a for y in b for z in c if len(x & y & z) >= 6}
     want = {f for f in found if not any(f[0] == o[0] and {*f[1]} <= {*o[1]} and f[2] <= o[2] and f != o for o in found)}
     assert {(t, s, frozenset(m)) for t, s, m in got} == want and len(got) == len(want) and sum(len(s) == 3 for _, s, _ in got) > 2
+
+
+def test_triclusters_over_overlapping_runs(spark, monkeypatch):
+    """Every choice of runs at neighbouring times, in a cube so dense that runs overlap; no sets are compared."""
+    from seqloom.operators import runs as RU
+
+    rng = np.random.default_rng(11)
+    cube = spark.createDataFrame([(t, s, g, float(v)) for t in (1, 2, 3, 5) for g in range(40) for s, v in enumerate(np.round(rng.uniform(1, 1.6, 3), 3))], "t int, s int, g long, val double")
+    runs = {}
+    for r in TR.ratio_edges(cube, 0.2, 3).collect():
+        runs.setdefault((r["t"], r["s1"], r["s2"]), set()).add(frozenset(r["g"]))
+    found = set()
+    for t in [(1, 2), (2, 3), (1, 2, 3)]:
+        for s in [c for n in (2, 3) for c in itertools.combinations(range(3), n)]:
+            sets = {frozenset(range(40))}
+            for k in ((u, *p) for u in t for p in itertools.combinations(s, 2)):
+                sets = {a & b for a in sets for b in runs.get(k, ()) if len(a & b) >= 3}
+            found |= {(frozenset(t), frozenset(s), g) for g in sets}
+    want = {f for f in found if not any(f != o and all(x <= y for x, y in zip(f, o)) for o in found)}
+    monkeypatch.setattr(RU, "STARTS", 3)
+    monkeypatch.setattr(TR, "maximal", lambda *x: pytest.fail("sets were compared"))
+    got = [tuple(frozenset(r[c]) for c in ("t", "s", "g")) for r in TR.triclusters(cube, 0.2, 2, 2, 3).collect()]
+    assert set(got) == want and len(got) == len(want) and any(len(t) == 3 for t, _, _ in want) and any(len(s) == 3 for _, s, _ in want)
