@@ -626,3 +626,15 @@ def test_triclusters_over_overlapping_runs(spark, monkeypatch):
     monkeypatch.setattr(TR, "maximal", lambda *x: pytest.fail("sets were compared"))
     got = [tuple(frozenset(r[c]) for c in ("t", "s", "g")) for r in TR.triclusters(cube, 0.2, 2, 2, 3).collect()]
     assert set(got) == want and len(got) == len(want) and any(len(t) == 3 for t, _, _ in want) and any(len(s) == 3 for _, s, _ in want)
+
+
+def test_missing_values_meet_near_ones_only():
+    """Against all pairs: columns of many equal values, gaps of just the width, and only a few members in reach at a time."""
+    rng = np.random.default_rng(6)
+    for w in (0.0, 0.3, 2.0):
+        points, others = (np.round(rng.uniform(0, 150, (n, 3)), 1) for n in (300, 400))
+        points[:, 2], others[:, 2] = rng.integers(0, 3, 300), rng.integers(0, 3, 400)
+        points[:20] = others[:20]
+        want = (np.abs(points[:, None] - others[None]) <= w).all(2).any(1)
+        assert (TR._near(points, others, w) == want).all() and want.any() and not want.all()
+        assert (TR._near(points[:, 2:], others[:, 2:], w)).all() and not TR._near(points, others[:0], w).any()
