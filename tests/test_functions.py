@@ -638,3 +638,20 @@ def test_missing_values_meet_near_ones_only():
         want = (np.abs(points[:, None] - others[None]) <= w).all(2).any(1)
         assert (TR._near(points, others, w) == want).all() and want.any() and not want.all()
         assert (TR._near(points[:, 2:], others[:, 2:], w)).all() and not TR._near(points, others[:0], w).any()
+
+
+def test_deviations_list_no_cells(spark, monkeypatch):
+    """Against a loop, with missing cells, nulls and times and features without any value."""
+    rng = np.random.default_rng(9)
+    val = {(t, s, g): round(float(rng.uniform(0, 9)), 3) for t in range(3) for s in range(3) for g in range(20) if rng.random() < 0.7}
+    cubes = [(k, sorted(rng.choice(4, 2, replace=False).tolist()), sorted(rng.choice(4, 2, replace=False).tolist()), sorted(rng.choice(22, 6, replace=False).tolist())) for k in range(12)]
+    monkeypatch.setattr(TR, "cell_values", lambda *x: pytest.fail("cells were joined"))
+    monkeypatch.setattr(TR, "MEMBERS", 10)
+    cube = spark.createDataFrame([(*k, v) for k, v in val.items()] + [(0, 0, 21, None)], "t int, s int, g long, val double")
+    got = {r["cube"]: tuple(round(r[c], 6) for c in ("dev_t", "dev_s", "dev_g")) for r in TR.deviations(cube, spark.createDataFrame(cubes, "cube long, t array<int>, s array<int>, g array<long>")).collect()}
+    want, half_up = {}, lambda x: math.floor(round(x * 1000) / 10 + 0.5) / 100
+    for k, *dims in cubes:
+        v = np.array([val.get(c, 0.0) for c in itertools.product(*dims)]).reshape([len(d) for d in dims])
+        near = np.vectorize(half_up)(v)
+        want[k] = tuple(round(float(np.abs(v - near.mean(a, keepdims=True)).mean()), 6) for a in range(3))
+    assert got == want
