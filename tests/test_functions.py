@@ -628,6 +628,42 @@ def test_triclusters_over_overlapping_runs(spark, monkeypatch):
     assert set(got) == want and len(got) == len(want) and any(len(t) == 3 for t, _, _ in want) and any(len(s) == 3 for _, s, _ in want)
 
 
+@pytest.mark.parametrize("missing", [0.0, 0.5])
+def test_triclusters_whose_values_cannot_be_uneven(spark, monkeypatch, missing):
+    """Every choice of one bicluster for each time; where the range of the values settles the bound no chains are listed."""
+    from seqloom.operators import runs as RU
+
+    rng = np.random.default_rng(4)
+    val = np.round(rng.uniform(1, 1.6, (5, 3, 24)), 2)
+    val[rng.random(val.shape) < 0.15] = np.nan
+    cube = spark.createDataFrame([(t, s, g, None if np.isnan(v) else float(v)) for (i, s, g), v in np.ndenumerate(val) for t in [(1, 2, 3, 4, 6)[i]]], "t int, s int, g long, val double")
+    at = TR.biclusters(TR.ratio_edges(cube, 0.15, 3), 2, 3)
+    at = TR.with_missing(cube, at, missing, 0.15, 3) if missing else at
+    by_time = {}
+    for r in at.collect():
+        by_time.setdefault(r["t"], set()).add((frozenset(r["s"]), frozenset(r["g"])))
+    found = set()
+    for t in (c for n in (2, 3, 4) for k in range(4) for c in [tuple(range(1, 5))[k : k + n]] if len(c) == n):
+        sets = by_time[t[0]]
+        for u in t[1:]:
+            sets = {(s, g) for a, x in sets for b, y in by_time[u] for s, g in [(a & b, x & y)] if len(s) >= 2 and len(g) >= 3}
+        found |= {(frozenset(t), *x) for x in sets}
+    want = {f for f in found if not any(f != o and all(x <= y for x, y in zip(f, o)) for o in found)}
+    monkeypatch.setattr(RU, "STARTS", 40)
+    monkeypatch.setattr(RU, "HELD", 3)
+    monkeypatch.setattr(TR, "even", lambda *x: pytest.fail("chains were listed"))
+    got = [tuple(frozenset(r[c]) for c in ("t", "s", "g")) for r in TR.triclusters(cube, 0.15, 2, 2, 3, missing, (1.0, None, 0.81)).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 10 and len({s for _, s, _ in want}) > 2 and len({len(t) for t, _, _ in want}) > 1
+
+
+def test_values_that_may_be_uneven_are_not_taken_for_even(spark):
+    df = spark.createDataFrame([(0, 0, 0, 3.0), (0, 0, 1, 5.0), (0, 1, 0, -1.0), (1, 0, 0, None)], "t int, s int, g long, val double")
+    for most, want in [((None, None, None), True), ((None, None, 2.51), True), ((None, None, 2.5), False), ((None, 2.1, None), False), ((None, 2.51, None), True), ((2.51, None, 2.4), False), ((None, None, -1.0), False)]:
+        assert TR.always_even(df, most) == want, most
+    odd = df.union(spark.createDataFrame([(2, 0, 0, math.nan)], df.schema))
+    assert not TR.always_even(odd, (None, None, 1e9)) and TR.always_even(df.limit(0), (None, None, 1.0))
+
+
 def test_missing_values_meet_near_ones_only():
     """Against all pairs: columns of many equal values, gaps of just the width, and only a few members in reach at a time."""
     rng = np.random.default_rng(6)
