@@ -483,6 +483,36 @@ def test_reports_are_read_the_same_at_once_and_by_lines():
     assert len(list(reports.parse(whole))) == 8 and len(list(reports.parse(ragged))) == 7 and len(list(reports.parse(no_names))) == 8
 
 
+def test_half_up_rounds_as_spark_does(spark):
+    x = [0.5e-6, 1.5e-6, 2.5e-6, -0.4e-6, 0.1234565, 1.0000005, 123456.7890125, 1e9 + 0.1234565, 3e12 + 0.3, 1e17, -2.0000005, math.inf]
+    rng = np.random.default_rng(1)
+    x += (rng.integers(0, 10**9, 500) / 1e7).tolist() + rng.normal(0, 50, 500).tolist()
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6) + F.lit(0.0)).collect()]
+    assert P.half_up(np.array(x)).tolist() == want
+
+
+def test_measured_pairs_are_made_without_joining_rows(spark, monkeypatch):
+    """Against a loop: several blocks and pieces, nulls, equal values, sequences of one value and of different lengths."""
+    rng = np.random.default_rng(2)
+    seqs = {int(k): sorted(np.round(rng.uniform(0, 9, int(n)), 2).tolist()) for k, n in zip(rng.permutation(60) * 7, rng.integers(1, 9, 50))}
+    seqs[5], seqs[6], seqs[8] = [0.1] * 7, [0.1] * 3, [4.0, 4.0 + 1e-9]
+    df = spark.createDataFrame([(k, v, None if k % 5 == 0 else v[0], v[-1]) for k, v in seqs.items()], "id long, v array<double>, p double, q double")
+    monkeypatch.setattr(P, "AT_ONCE", 37)
+    monkeypatch.setattr(P, "pairs", lambda *x: pytest.fail("rows were joined"))
+    got = {(r["id1"], r["id2"]): (r["r2"], r["angle"]) for r in P.measured(df.select("id", "v"), "id", A.foretold, ["r2", "angle"]).collect()}
+    assert sorted(got) == [(a, b) for a in sorted(seqs) for b in sorted(seqs) if a < b]
+    for (a, b), (r2, angle) in got.items():
+        x, y = (np.array(z[: min(len(seqs[a]), len(seqs[b]))]) for z in (seqs[a], seqs[b]))
+        assert (r2 is None) == (len(set(y)) == 1) and (angle is None) == (len(set(x)) == 1)
+        assert r2 is None or r2 == pytest.approx(1 - ((y - x) ** 2).sum() / ((y - y.mean()) ** 2).sum(), rel=1e-6, abs=1e-6)
+        assert angle is None or angle == pytest.approx(np.degrees(np.arctan(abs(np.cov(x, y, bias=True)[0, 1] / x.var()))), abs=2e-6)
+    rows = P.measured_differences(df, "id", ["p", "q"]).collect()
+    assert len(rows) == len(got) and {(r["id1"], r["id2"]) for r in rows} == set(got)
+    for r in rows:
+        (a, b), hole = (seqs[r["id1"]], seqs[r["id2"]]), r["id1"] % 5 == 0 or r["id2"] % 5 == 0
+        assert r["q_diff"] == round(abs(a[-1] - b[-1]), 6) and (r["p_diff"] is None if hole else r["p_diff"] == round(abs(a[0] - b[0]), 6))
+
+
 def test_settings():
     from seqloom import settings as SE
 
