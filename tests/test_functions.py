@@ -753,3 +753,22 @@ def test_deviations_list_no_cells(spark, monkeypatch):
         near = np.vectorize(half_up)(v)
         want[k] = tuple(round(float(np.abs(v - near.mean(a, keepdims=True)).mean()), 6) for a in range(3))
     assert got == want
+
+
+@pytest.fixture(scope="module")
+def few_kinds(spark):
+    """150 rows of few different values, one of them with nearly half of the rows, and a null."""
+    rng = np.random.default_rng(1)
+    ids = rng.choice(10**9, 150, replace=False).tolist()
+    return spark.createDataFrame([(i, 1.0 if k < 70 else float(rng.integers(0, 6)), None if k == 80 else float(rng.integers(0, 2))) for k, i in enumerate(ids)], "id long, x double, y double").persist()
+
+
+def test_differences_once_for_equal_rows(spark, few_kinds, monkeypatch):
+    """As many pairs and held ones as all pairs give, with a value's rows dealt over pieces and blocks."""
+    monkeypatch.setattr(P, "IN_BLOCK", 30)
+    monkeypatch.setattr(P, "TOGETHER", 8)
+    found = P.counted_differences(few_kinds, "id", ["x", "y"], 5)
+    got = found.groupBy("x_diff", "y_diff").agg(F.sum("n"), F.sum("held"))
+    held = (F.pmod(F.xxhash64("id1", "id2"), F.lit(5)) == 0).cast("long")
+    want = P.differences(P.pairs(few_kinds, "id"), "id", ["x", "y"]).groupBy("x_diff", "y_diff").agg(F.count("*"), F.sum(held))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and found.count() < 150 * 149 / 2 / 10
