@@ -772,3 +772,24 @@ def test_differences_once_for_equal_rows(spark, few_kinds, monkeypatch):
     held = (F.pmod(F.xxhash64("id1", "id2"), F.lit(5)) == 0).cast("long")
     want = P.differences(P.pairs(few_kinds, "id"), "id", ["x", "y"]).groupBy("x_diff", "y_diff").agg(F.count("*"), F.sum(held))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and found.count() < 150 * 149 / 2 / 10
+
+
+def test_loss_of_a_feature_is_the_mean_of_all_deals(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from seqloom.operators import models as M
+
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 8, (60, 3)).astype(float)
+    rows = [(*map(float, x), int(x[0] + x[1] > 7), int(n)) for x, n in zip(v, rng.integers(1, 4, 60))]
+    x = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(spark.createDataFrame(rows, "a double, b double, c double, label int, n int"))
+    model = DecisionTreeClassifier(maxDepth=3, seed=1, weightCol="n").fit(x)
+    got = M.tree_losses(model, x, ["a", "b", "c"], "label", "n")
+    n = np.array([r[4] for r in rows], dtype=float)
+    many = np.repeat(np.arange(60), n.astype(int))
+    whole, label = v[many], np.array([r[3] for r in rows])[many]
+    dealt = [np.concatenate([np.column_stack([np.full(len(whole), w) if j == k else whole[:, j] for j in range(3)]) for w in whole[:, k]]) for k in range(3)]
+    told = lambda z: np.array([r[0] for r in model.transform(VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(spark.createDataFrame(z.tolist(), "a double, b double, c double"))).select("prediction").collect()])
+    base = (told(whole) == label).mean()
+    assert got == pytest.approx([base - (told(z) == np.tile(label, len(whole))).mean() for z in dealt]) and max(got) > 0.1
