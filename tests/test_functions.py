@@ -793,3 +793,22 @@ def test_loss_of_a_feature_is_the_mean_of_all_deals(spark):
     told = lambda z: np.array([r[0] for r in model.transform(VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(spark.createDataFrame(z.tolist(), "a double, b double, c double"))).select("prediction").collect()])
     base = (told(whole) == label).mean()
     assert got == pytest.approx([base - (told(z) == np.tile(label, len(whole))).mean() for z in dealt]) and max(got) > 0.1
+
+
+def test_models_of_pairs_count_equal_suppliers(spark, sf_dir, tmp_path):
+    """Three copies of lineitem under other suppliers: differences once for the copies, and an SVM as good as one of all pairs."""
+    from pyspark.ml.classification import LinearSVC
+
+    from seqloom.plans import mining_queries as MQ
+
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    copies = lines.withColumn("l_suppkey", F.explode(F.array(*[F.col("l_suppkey") + 1_000 * k for k in range(3)])))
+    copies.write.parquet(str(tmp_path / "lineitem.parquet"))
+    x = MQ.labelled_pairs(spark, str(tmp_path)).persist()
+    n = copies.select("l_suppkey").distinct().count()
+    assert x.agg(F.sum("n")).first()[0] == n * (n - 1) // 2 and x.count() < n * (n - 1) / 10
+    whole = LinearSVC(maxIter=20, regParam=0.01).fit(x.withColumn("one", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))))
+    got = [r["weight"] for r in MQ.svm_distance_weights(spark, str(tmp_path)).collect()]
+    rows = x.select(*MQ.DIFFS, "label", "n").toPandas().to_numpy(float)
+    lost = lambda w: (np.maximum(0, 1 - (2 * rows[:, -2] - 1) * (rows[:, :-2] @ np.array(w[:-1]) + w[-1])) * rows[:, -1]).sum() / rows[:, -1].sum()
+    assert lost(got) == pytest.approx(lost([*whole.coefficients, whole.intercept]), abs=0.02)
