@@ -812,3 +812,19 @@ def test_models_of_pairs_count_equal_suppliers(spark, sf_dir, tmp_path):
     rows = x.select(*MQ.DIFFS, "label", "n").toPandas().to_numpy(float)
     lost = lambda w: (np.maximum(0, 1 - (2 * rows[:, -2] - 1) * (rows[:, :-2] @ np.array(w[:-1]) + w[-1])) * rows[:, -1]).sum() / rows[:, -1].sum()
     assert lost(got) == pytest.approx(lost([*whole.coefficients, whole.intercept]), abs=0.02)
+
+
+def test_pairs_of_equal_rows_are_measured_once(spark, monkeypatch):
+    """All pairs, whatever blocks and pieces rows are in, and next to one another those of the same two kinds of rows."""
+    monkeypatch.setattr(P, "IN_BLOCK", 1_000)
+    df = spark.createDataFrame([(i * 7 % 101, float(i % 4), None if i % 4 == 3 else 0.25 * (i % 4)) for i in range(100)], "id long, x double, y double")
+    rows = P.measured_differences(df, "id", ["x", "y"]).collect()
+    value = {r["id"]: (r["x"], r["y"]) for r in df.collect()}
+    want = {(a, b): tuple(None if p is None or q is None else abs(p - q) for p, q in zip(value[a], value[b])) for a, b in itertools.combinations(sorted(value), 2)}
+    assert len(rows) == len(want) and {(r["id1"], r["id2"]): (r["x_diff"], r["y_diff"]) for r in rows} == want
+    # ten ways to choose two of four values, some of them with a's below b's and the other way round
+    assert len(list(itertools.groupby(rows, lambda r: (value[r["id1"]], value[r["id2"]])))) <= 16
+    monkeypatch.setattr(P, "IN_BLOCK", 15)
+    monkeypatch.setattr(P, "TOGETHER", 4)
+    again = P.measured_differences(df, "id", ["x", "y"]).collect()
+    assert len(again) == len(want) and {(r["id1"], r["id2"]): (r["x_diff"], r["y_diff"]) for r in again} == want
