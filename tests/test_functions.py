@@ -828,3 +828,31 @@ def test_pairs_of_equal_rows_are_measured_once(spark, monkeypatch):
     monkeypatch.setattr(P, "TOGETHER", 4)
     again = P.measured_differences(df, "id", ["x", "y"]).collect()
     assert len(again) == len(want) and {(r["id1"], r["id2"]): (r["x_diff"], r["y_diff"]) for r in again} == want
+
+
+def test_entities_of_the_same_runs_are_mined_as_one(spark):
+    """Copies of every entity under other keys: rows hold one of each kind, and biclusters hold all copies."""
+    from seqloom.operators.overlaps import condensed
+
+    rng = np.random.default_rng(3)
+    cells = [(0, s, g, float(v)) for g in range(40) for s, v in enumerate(np.round(rng.uniform(1, 1.6, 3), 3))]
+    cube = lambda copies: spark.createDataFrame([(t, s, g + 100 * k, v) for t, s, g, v in cells for k in range(copies)], "t int, s int, g long, val double")
+    runs = TR.ratio_edges(cube(3), 0.15, 12).withColumn("row", F.monotonically_increasing_id()).persist()
+    kinds, few = condensed(runs.select("t", "row", "g"), ["t"], "row", "g")
+    assert all({x % 100 for x in r["all"]} == {x for x in r["all"] if x < 100} and len(r["all"]) % 3 == 0 for r in kinds.collect())
+    assert all(len(a["g"]) <= len(b["g"]) / 3 for a, b in zip(few.orderBy("row").collect(), runs.orderBy("row").collect()))
+    assert [sum(r["n"]) for r in few.orderBy("row").collect()] == [len(r["g"]) for r in runs.orderBy("row").collect()]
+    one = {(tuple(r["s"]), tuple(r["g"])) for r in TR.biclusters(TR.ratio_edges(cube(1), 0.15, 4), 2, 4).collect()}
+    got = {(tuple(r["s"]), tuple(r["g"])) for r in TR.biclusters(TR.ratio_edges(cube(3), 0.15, 12), 2, 12).collect()}
+    assert len(one) > 10 and got == {(s, tuple(sorted(x + 100 * k for x in g for k in range(3)))) for s, g in one}
+
+
+def test_covers_count_members_that_stand_for_many(spark):
+    from seqloom.operators import overlaps as O
+
+    rng = np.random.default_rng(9)
+    sets = [(k, [0], sorted(x + 50 * c for x in rng.choice(50, int(rng.integers(5, 30)), replace=False).tolist() for c in range(4))) for k in range(30)]
+    df = spark.createDataFrame([*sets, (99, [0], [])], "id long, s array<int>, g array<long>")
+    keep = lambda na, nb, common, a, b: common[1] >= 0.5 * na[1]
+    whole, alike = ({tuple(r) for r in O.overlaps(df, "id", ["s", "g"], keep, x).collect()} for x in (False, True))
+    assert whole == alike and len(whole) > 50
