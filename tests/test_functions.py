@@ -856,3 +856,12 @@ def test_covers_count_members_that_stand_for_many(spark):
     keep = lambda na, nb, common, a, b: common[1] >= 0.5 * na[1]
     whole, alike = ({tuple(r) for r in O.overlaps(df, "id", ["s", "g"], keep, x).collect()} for x in (False, True))
     assert whole == alike and len(whole) > 50
+
+
+def test_lineitem_is_added_up_once_for_a_cube(spark, sf_dir):
+    """What a query's steps read is the cube as written, not lineitem again."""
+    from seqloom.plans import mining_queries as MQ
+
+    x = MQ.cube(spark, sf_dir)
+    for frame in (x, MQ.numbered_cubes(x)):
+        assert frame.inputFiles() and not any("lineitem" in f for f in frame.inputFiles())
